@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiermeter.llm import binary_output, media, packing, tokens
+from tiermeter.llm import binary_output, media, mixing, ngram_join, packing, quality, rules, tokens
 from tiermeter.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(documents(spark, sf_dir)))
 
@@ -22,9 +26,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.write_rows(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_packing, op4_token_counts, op8_token_rows)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(documents(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rules.judge(docs, rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_ngram_join, op3_packing, op4_token_counts, op5_quality, op8_token_rows, op9_mixing, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
