@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiermeter.llm import binary_output, media, mixing, ngram_join, packing, quality, rules, tokens
+from tiermeter.llm import binary_output, language_model, media, mixing, ngram_join, packing, pii, quality, rules, tokens
 from tiermeter.llm.common import documents
 
 
@@ -31,6 +31,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(documents(spark, sf_dir))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model(documents(spark, sf_dir))
+
+
 def op8_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.write_rows(documents(spark, sf_dir))
 
@@ -44,5 +52,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_ngram_join, op3_packing, op4_token_counts, op5_quality, op8_token_rows, op9_mixing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_ngram_join, op3_packing, op4_token_counts, op5_quality, op6_surrogates, op7_language_model, op8_token_rows, op9_mixing, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
