@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.llm.common import arrow_schema, with_bytes
+from tiermeter.llm.common import arrow_schema, tidied, with_bytes
 from tiermeter.llm.tokens import encoded, tokenizer_path
 
 ROW, BLOCK_TOKENS = 2048, 1 << 20
@@ -122,4 +122,4 @@ def write_rows(docs: DataFrame, path: str | None = None, size: int = ROW, end_id
         if ids:
             yield block(doc_ids, ids, first)
 
-    return with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SCHEMA)
+    return with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run, "tokens"), SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,7 +15,40 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy batch holds, unless a single text is longer.
 BATCH_BYTES = 1 << 20
 #: Rows and bytes of one Arrow batch between the JVM and Python.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+
+
+#: Tables that a reused Python worker holds, by owner, and how to drop them.
+HELD: dict[str, Callable[[], None]] = {}
+
+Batches = Iterable[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that holds no other operator's tables and gives freed memory back.
+
+    Python workers outlive their tasks; without this, one operator's tables and
+    the allocator's free lists stay while the next operator runs.
+    """
+
+    def tidy(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for name, drop in HELD.items():
+            if name != owner:
+                drop()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return tidy
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -50,7 +84,7 @@ def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, object]],
             out = f(columns)
             yield pa.RecordBatch.from_arrays([pa.array(out[n], type=target.field(n).type) for n in names], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], batch_bytes: int = BATCH_BYTES) -> Iterator[dict[str, list]]:
@@ -60,7 +94,7 @@ def sliced(batches: Iterable[pa.RecordBatch], batch_bytes: int = BATCH_BYTES) ->
             continue
         columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
         first, held = 0, 0
-        sizes = [len(t) for t in columns["text"]] if "text" in columns else [0] * batch.num_rows
+        sizes = [len(t or b"") for t in columns["text"]] if "text" in columns else [0] * batch.num_rows
         for i, n in enumerate(sizes):
             if held and held + n > batch_bytes:
                 yield {k: v[first:i] for k, v in columns.items()}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.llm.common import arrow_map, arrow_schema, with_bytes, written
+from tiermeter.llm.common import arrow_map, arrow_schema, tidied, with_bytes, written
 from tiermeter.llm.graph import components
 from tiermeter.llm.kernels import Batch, mix, windows
 
@@ -245,7 +245,7 @@ def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, rec
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "rep", "copies", (F.col("block") > F.col("other")).cast("int").alias("side"), "grams")
     keyed = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-    verified = written(keyed.mapInArrow(_verify(threshold), VERIFIED), "verified")
+    verified = written(keyed.mapInArrow(tidied(_verify(threshold)), VERIFIED), "verified")
 
     classes = components(verified.select("u", "v")).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))

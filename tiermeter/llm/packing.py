@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.llm.common import arrow_schema, with_bytes
+from tiermeter.llm.common import arrow_schema, tidied, with_bytes
 from tiermeter.llm.tokens import encoded, tokenizer_path
 
 #: Context sizes, ascending powers of two.
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, tiers: tuple
                     yield close(False)
         yield close(True)
 
-    return with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SCHEMA)
+    return with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run, "tokens"), SCHEMA)
 
 
 def digests(packed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiermeter.llm.common import arrow_schema, written
+from tiermeter.llm.common import arrow_schema, tidied, written
 
 KEY = b"surrogates of this corpus"
 ROUNDS, MOST_DRAWS = 8, 60
@@ -264,7 +264,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MENTION)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), MENTION)
 
 
 def settled(values: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -319,7 +319,7 @@ def rewrite(docs: DataFrame, key: bytes = KEY, kinds: bool = False) -> DataFrame
     if kinds:
         out_schema = docs.withColumn(COUNTS, F.array().cast("array<string>")).schema
     source = source.select(*[F.col(f"`{f.name}`") for f in columns], "__draws")
-    return source.mapInArrow(_rewriter(key, kinds, [f.name for f in columns]), out_schema)
+    return source.mapInArrow(tidied(_rewriter(key, kinds, [f.name for f in columns])), out_schema)
 
 
 def _rewriter(key: bytes, kinds: bool, names: list[str]) -> Callable:

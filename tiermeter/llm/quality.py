@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.llm.common import arrow_map, arrow_schema, with_bytes, written
+from tiermeter.llm.common import arrow_map, arrow_schema, tidied, with_bytes, written
 from tiermeter.llm.kernels import Batch, keyed, repeats, windows
 from tiermeter.llm.labelled import fold, held_out, sample
 
@@ -174,7 +174,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
                 keep = np.concatenate([model.score(part) for part in _parts(texts)]) >= threshold
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def _parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:

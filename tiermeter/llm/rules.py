@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.llm.common import arrow_map, arrow_schema, with_bytes
+from tiermeter.llm.common import arrow_map, arrow_schema, tidied, with_bytes
 from tiermeter.llm.kernels import Batch, keyed, repeats, windows
 from tiermeter.llm.labelled import fold, sample
 from tiermeter.llm.quality import SYMBOLS
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
         yield pa.RecordBatch.from_arrays([pa.array([train(parts, y).astype(np.float32).tobytes()], pa.binary()), pa.array([len(y)])], schema=target)
 
     shares = rows.where("not calibrate").repartitionByRange(FIT_TASKS, F.xxhash64("doc_id")).select("text", "label")
-    found = [(np.frombuffer(r.weights, dtype=np.float32), r.n) for r in shares.mapInArrow(run, "weights binary, n long").collect() if r.n]
+    found = [(np.frombuffer(r.weights, dtype=np.float32), r.n) for r in shares.mapInArrow(tidied(run), "weights binary, n long").collect() if r.n]
     n = sum(k for _, k in found)
     if not n:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0)

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tiermeter.llm.common import arrow_schema, sliced, with_bytes
+from tiermeter.llm.common import HELD, arrow_schema, tidied, with_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept for good, and words kept until the table is full.
-KEEP_WORDS, SPARE_WORDS = 400_000, 800_000
+KEEP_WORDS, SPARE_WORDS = 300_000, 400_000
 #: Bytes of text split into words at once, and of words encoded in one call.
 PIECE_BYTES, CALL_BYTES, CALL_TEXT = 1 << 21, 1 << 18, 1200
 _MARK = b"|"
@@ -194,6 +194,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+HELD["tokens"] = encoder.cache_clear
+
+
 def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
@@ -231,4 +234,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
             size = pc.binary_length(column).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], schema=target)
 
-    return with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, COUNT_SCHEMA)
+    return with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run, "tokens"), COUNT_SCHEMA)
