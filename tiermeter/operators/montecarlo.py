@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.functions.stats import WeightedSums, finite_bounds, status_of, weighted_proportion
-from tiermeter.functions.stats import Estimate
+from tiermeter.functions.stats import Estimate, WeightedSums, finite_bounds_many, status_of, weighted_proportion
 
 
 def redraw(cases: DataFrame, seeds: int, first_seed: int = 0) -> DataFrame:
@@ -33,22 +32,31 @@ INTERVALS = "seed long, n long, value double, lo double, hi double, status strin
 def intervals(draws: DataFrame, tolerance: float | None = None, level: float = 0.95) -> DataFrame:
     """The weighted estimate and finite-population interval of each seed."""
 
+    target = pa.schema([("seed", pa.int64()), ("n", pa.int64()), ("value", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64()), ("status", pa.string())])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("seed", "n", "value", "lo", "hi", "status")}
-            for row in batch.to_pylist():
-                e = estimate([(s["pi"], s["drawn"], s["hits"]) for s in row["strata"]], level)
-                for k, v in (("seed", row["seed"]), ("n", e.n), ("value", e.value), ("lo", e.lo), ("hi", e.hi), ("status", status_of(e, tolerance))):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("seed", pa.int64()), ("n", pa.int64()), ("value", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64()), ("status", pa.string())]))
+            if batch.num_rows:
+                sums = [sums_of([(s["pi"], s["drawn"], s["hits"]) for s in strata]) for strata in batch.column("strata").to_pylist()]
+                value, lo, hi = bounds(sums, level)
+                status = [status_of(Estimate(v, a, z, s.n, "hajek-finite"), tolerance) for v, a, z, s in zip(value, lo, hi, sums, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("seed"), pa.array([s.n for s in sums], pa.int64()), pa.array(value, pa.float64()), pa.array(lo), pa.array(hi), pa.array(status)], schema=target)
 
     per_seed = draws.groupBy(F.col("seed").cast("long").alias("seed")).agg(F.sort_array(F.collect_list(F.struct("pi", "drawn", "hits"))).alias("strata"))  # a few strata
     return per_seed.mapInArrow(run, INTERVALS)
 
 
-def estimate(strata: Sequence[tuple[float, int, int]], level: float = 0.95) -> Estimate:
-    """The estimate from (probability, drawn, hits) of each stratum."""
-    return weighted_proportion(sums_of(strata), level, finite=True)
+def bounds(sums: Sequence[WeightedSums], level: float = 0.95) -> tuple[list[float], list[float], list[float]]:
+    """Estimates and their bounds, for many draws at once; a census has its own exact bounds."""
+    column = lambda k: np.array([getattr(s, k) for s in sums], dtype=float)
+    w, wy, vh, vm = column("w"), column("wy"), column("vh"), column("vm")
+    lo, hi = finite_bounds_many(w, column("w_max"), wy, vh, vm, level)
+    for i, s in enumerate(sums):
+        if not (s.vh or s.vm):
+            e = weighted_proportion(s, level, finite=True)
+            lo[i], hi[i] = e.lo, e.hi
+    value = wy / w
+    return value.tolist(), np.minimum(lo, value).tolist(), np.maximum(hi, value).tolist()
 
 
 def sums_of(strata: Sequence[tuple[float, int, int]]) -> WeightedSums:
@@ -72,21 +80,22 @@ def coverage(found: DataFrame, truth: float) -> DataFrame:
 def designs(spark, strata: Sequence[tuple[int, float, int]], draws: int, level: float = 0.95, seed: int = 0, tasks: int = 8) -> DataFrame:
     """Intervals of a synthetic population of (cases, probability, disagreements) strata, redrawn ``draws`` times.
 
-    Counts by stratum are binomial, so no unit is ever written out.
+    Counts by stratum are binomial, so no unit is ever written out. Draws without
+    a single audit have no estimate and give no row.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k in batch.column("id").to_pylist():
+            ids, sums = batch.column("id").to_pylist(), []
+            for k in ids:
                 rng = np.random.default_rng([seed, k])
                 drawn = []
                 for n, p, bad in strata:
                     hits = int(rng.binomial(bad, p))
                     drawn.append((p, hits + int(rng.binomial(n - bad, p)), hits))
-                s = sums_of(drawn)
-                lo, hi = (0.0, 1.0) if not s.n else finite_bounds(s, level) if s.vh or s.vm else (s.k / s.n,) * 2
-                rows.append((k, s.n, s.wy / s.w if s.n else None, lo, hi, None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()))], names=["seed", "n", "value", "lo", "hi", "status"])
+                sums.append(sums_of(drawn))
+            full = [(k, s) for k, s in zip(ids, sums, strict=True) if s.n]
+            value, lo, hi = bounds([s for _, s in full], level)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([s.n for _, s in full], pa.int64()), pa.array(value, pa.float64()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64()), pa.nulls(len(full), pa.string())], names=["seed", "n", "value", "lo", "hi", "status"])
 
     return spark.range(0, draws, 1, tasks).mapInArrow(run, INTERVALS)
