@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tiermeter.llm import graph, ngram_join
 
@@ -97,8 +98,29 @@ def test_linked_across_two_lists():
     assert not ngram_join.linked(a, None, 0.8).any()
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("in_one_task", [1 << 20, 0])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(graph, "TASK_EDGES", in_one_task)
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[k] for k in range(201)} == {0} and {got[k] for k in range(1000, 1100)} == {1000}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_roots_of_random_graphs():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 50, 400):
+        for _ in range(20):
+            u, v = rng.integers(0, n, n), rng.integers(0, n, n)
+            parent = list(range(n))
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+            node, got = graph.roots(u, v)
+            assert [root(x) for x in node.tolist()] == got.tolist()

@@ -1,25 +1,57 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components of an edge table: contraction rounds, then one bounded task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.llm.common import written
+from tiermeter.llm.common import arrow_schema, tidied, written
+
+#: Edges that one task solves by itself; more are contracted by shuffling first.
+TASK_EDGES = 1 << 20
+LABELS = "node long, root long"
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes, and the lowest node of each one's component."""
+    node, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(node))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        # what a node learned goes to its old label too, and labels are followed
+        np.minimum.at(low, label, low)
+        low = low[low]
+        if np.array_equal(low, label):
+            return node, node[label]
+        label = low
+
+
+def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        node, root = roots(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], schema=arrow_schema(LABELS))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the lowest node of its component) for the nodes of ``u``-``v`` edges.
 
-    In each round every node moves to the neighbour of lowest hash, if that is
-    below its own, and the edges are rewritten; long chains of rising ids thus
-    shrink as fast as any graph. The tables of each round are written to the
+    While there are more than ``TASK_EDGES`` edges, every node moves to the
+    neighbour of lowest hash, if that is below its own, and the edges are
+    rewritten; long chains of rising ids thus shrink as fast as any graph. What
+    is left is solved in one task. Tables of each round are written to the
     shared folder. Loops and repeated edges do no harm.
     """
-    spark = edges.sparkSession
     edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     moves: list[DataFrame] = []
-    while not edges.isEmpty():
+    while edges.count() > TASK_EDGES:
         salt = F.lit(len(moves))
         both = edges.union(edges.select("v", "u"))
         best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", salt).alias("h"), F.col("v").alias("to"))).alias("b"))
@@ -29,10 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
         left = edges.join(move.select(F.col("node").alias("u"), F.col("to").alias("x")), "u")
         full = left.join(move.select(F.col("node").alias("v"), F.col("to").alias("y")), "v")
         edges = written(full.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+    labels = written(edges.coalesce(1).mapInArrow(tidied(_solve), LABELS), "labels")  # TASK_EDGES edges at most
     if not moves:
-        return spark.createDataFrame([], "node long, root long")
-    labels = moves[-1].withColumnRenamed("to", "root")
-    for move in reversed(moves[:-1]):
+        return labels
+    for move in reversed(moves):
         after = labels.select(F.col("node").alias("to"), "root")
         labels = move.join(after, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     labels = written(labels, "labels")
