@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from tiermeter.operators import audit, calibrate, sweep
+from tiermeter.operators import audit, calibrate, judging, sweep
 from tiermeter.operators.cascade import AuditPolicy, Tier, route
 from tiermeter.operators.simulate import Answerer, wrong_options
 from tiermeter.plans.adapters import decisions
@@ -58,7 +58,6 @@ def test_sweep_points_against_direct_counting(spark):
     assert sweep.joint_cap(2) == 141 and sweep.joint_cap(1) == 20_000
     with pytest.raises(ValueError, match="points"):
         sweep.points(rows, [[k / 200 for k in range(200)], [k / 200 for k in range(200)]])
-    assert sweep.bucket is not None
 
 
 def test_frontier_has_no_dominated_point(spark):
@@ -181,6 +180,24 @@ def test_calls(spark):
     assert got["a"].text == "A" and got["bad"].error.startswith("ZeroDivisionError")
 
 
+def test_judges_monitors_and_samples(spark):
+    pairs = spark.createDataFrame([(1, "q", "The cat", "cat"), (2, "q", "{target}", "dog"), (3, "q", "", "x"), (4, "q", "boom", "y")], "id long, question string, candidate string, target string")
+
+    def ask(prompt):
+        if "boom" in prompt:
+            raise RuntimeError("no")
+        assert "Second answer: {target}" in prompt
+        return "VERDICT: NOT EQUIVALENT"
+
+    got = {r.id: (r.equivalent, r.by) for r in judging.judged(pairs, ask, workers=2).collect()}
+    assert got == {1: (True, "normalized"), 2: (False, "judge"), 3: (False, "normalized"), 4: (None, "judge")}
+    scores = {r.id: r.score for r in judging.monitored(pairs, lambda p: "P(correct): 0.25", workers=2).collect()}
+    assert scores == {1: 0.25, 2: 0.25, 3: None, 4: 0.25}
+    one = spark.createDataFrame([(1, "p", "7")], "id long, prompt string, candidate string")
+    assert judging.sampled(one, lambda p: "ANSWER: 7", 3).first().score == 1.0
+    assert judging.sampled(one, lambda p: "ANSWER: 8", 3).first().score == 0.25
+
+
 def test_wrong_options_are_wrong():
     for ref in ("5", "-1,000", "2.50", "B", "c", "Yes", "Paris", "0"):
         options = wrong_options(ref)
