@@ -26,7 +26,7 @@ from tiermeter.llm.common import HELD, arrow_schema, tidied, with_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept for good, and words kept until the table is full.
-KEEP_WORDS, SPARE_WORDS = 300_000, 400_000
+KEEP_WORDS, SPARE_WORDS = 300_000, 600_000
 #: Bytes of text split into words at once, and of words encoded in one call.
 PIECE_BYTES, CALL_BYTES, CALL_TEXT = 1 << 21, 1 << 18, 1200
 _MARK = b"|"
