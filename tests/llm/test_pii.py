@@ -33,6 +33,13 @@ def test_clean_texts_stay(text):
     assert pii.replaced(text) == (text, [])
 
 
+@pytest.mark.parametrize("text", ["Password: correcthorsebattery", "SECRET=abcdefgh", "API_KEY: abcdefghijk", "\u017fecret: abcdefghijk", "AKIA" + "ABCDEFGH" * 2, "ghp_" + "abcdef" * 6])
+def test_secrets_without_digits(text):
+    new, kinds = pii.replaced(text)
+    assert kinds == ["secret"] and new != text
+    assert pii.replaced(f"{text} 4")[0] == f"{new} 4"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="abc019.é", min_size=1, max_size=6), unique=True, max_size=30))
 def test_permutation_is_one_to_one_and_keeps_form(values):

@@ -48,7 +48,8 @@ PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
 NAMES = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})(?:\.|\b)[ \t]+({_LETTER}[\w'’-]+(?:[ \t]+{_LETTER}[\w'’-]+){{0,2}})")
 _MAYBE = re.compile(r"[\d@]")
 _WORD = re.compile(r"[^\s]+")
-_SECRET_WORDS = ("token", "secret", "passw", "key")
+#: Case-folded; every secret that may be without digits has one of them.
+_SECRET_WORDS = ("token", "secret", "passw", "key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def luhn(digits: str) -> int:
@@ -65,6 +66,10 @@ def _iban_ok(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _secret_word(folded: str) -> bool:
+    return any(w in folded for w in _SECRET_WORDS)
+
+
 #: An entity: start and end in the text, its kind and its canonical value.
 Entity = tuple[int, int, str, str]
 
@@ -72,7 +77,7 @@ Entity = tuple[int, int, str, str]
 def detect(text: str) -> list[Entity]:
     """Entities in order, without overlaps; where two overlap, the first kind of ``PATTERNS`` wins."""
     found: list[Entity] = []
-    if _MAYBE.search(text) or any(w in text for w in _SECRET_WORDS):
+    if _MAYBE.search(text) or _secret_word(text.casefold()):
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
                 start, end = m.span(1) if kind == "secret" and pattern.groups else m.span()
