@@ -44,6 +44,27 @@ def test_shares_come_near_their_targets(spark):
     assert abs(n["big"] - 10000) < 300 and abs(n["small"] - 10000) < 600
 
 
+def test_rates_above_that_of_one_draw_keep_their_weight(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 700)
+    rows = [(0, "t" * 10, "tiny"), (1, "t" * 10, "tiny")] + [(k, "z" * 100, "big") for k in range(2, 1002)]
+    got = mixing.replicate(frame(spark, rows), {"tiny": 1, "big": 1}).where("source = 'tiny'").collect()
+    rate = 0.5 * 100020 / 20
+    for d in (0, 1):
+        n = sorted(r.replica for r in got if r.doc_id == d)
+        want = 0
+        for j in range(6):
+            u = int(hashlib.sha256(f"{mixing.SEED}{f'.{j}' if j else ''}|{d}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / 6)
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / 6 / k
+                c += p
+            want += k
+        assert n == list(range(want)) and abs(want - rate) < 5 * rate**0.5
+    assert {r.rate for r in got} == {rate}
+
+
 def test_many_sources_are_joined_by_shuffling(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     got = mixing.replicate(frame(spark, ROWS)).collect()

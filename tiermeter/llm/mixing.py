@@ -14,21 +14,25 @@ FLATTEN = 0.5
 BROADCAST_SOURCES = 10_000
 SALTS = 64
 SEED = 7
-#: No document is repeated more often than this in the mean.
+#: The highest rate of one draw; a higher rate is a sum of independent draws.
 MAX_RATE = 500.0
+#: Copies that one array lists.
+BLOCK = 1 << 16
 
 
-def uniform(key: Column, salt: str) -> Column:
+def uniform(key: Column, salt: str | Column) -> Column:
     """A number in [0, 1) of 52 bits from SHA-256; DuckDB gives the same."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(salt + "|"), key), 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    salt = F.lit(salt) if isinstance(salt, str) else salt
+    return F.conv(F.substring(F.sha2(F.concat(salt, F.lit("|"), key), 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """``source``, its ``rate`` and the Poisson distribution function up to where it is 1.
+    """``source``, its ``rate``, its number of ``draws`` and the Poisson distribution function of one up to where it is 1.
 
     A source's rate makes its expected bytes its share of ``epochs`` times all
     bytes. A null source is a source of its own. Sources without bytes keep
-    rate ``epochs``. Sources missing from ``weights`` have weight 0.
+    rate ``epochs``. Rates above ``MAX_RATE`` are split evenly over several
+    draws, as the function of a higher one would start from 0. Sources missing from ``weights`` have weight 0.
     """
     n = F.sum(F.octet_length("text").cast("long"))
     sizes = docs.groupBy("source").agg(F.coalesce(n, F.lit(0).cast("long")).alias("bytes"))
@@ -42,13 +46,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     # decimals add up to the same in any order
     total = sizes.agg(F.sum("bytes").alias("all_bytes"), F.sum(F.col("weight").cast("decimal(30,6)")).cast("double").alias("all_weight"))
     rate = F.when((F.col("bytes") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * F.lit(epochs) * F.col("all_bytes") / F.col("bytes")).otherwise(F.lit(float(epochs)))
-    found = sizes.crossJoin(F.broadcast(total)).select("source", F.least(rate, F.lit(MAX_RATE)).alias("rate"))  # total has one row
-    steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int"))
-    first = F.exp(-F.col("rate"))
+    found = sizes.crossJoin(F.broadcast(total)).select("source", rate.alias("rate"))  # total has one row
+    found = found.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int")))
+    one = F.col("rate") / F.col("draws")
+    steps = F.sequence(F.lit(1), F.ceil(one + 12 * F.sqrt(one) + 20).cast("int"))
+    first = F.exp(-one)
     start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("rate") / k
+        p = acc["p"] * one / k
         c = acc["c"] + p
         return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["cdf"], F.array(c)).alias("cdf"))
 
@@ -60,13 +66,14 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
 
     The draw inverts the distribution at a uniform number from the seed and
     ``doc_id``, so rows that share an id are drawn alike, and so are null ids.
+    Where the rate takes several draws, each has a seed of its own and they add up.
     With ``shuffle`` the copies are dealt to partitions and sorted there by
     ``shuffle_key``, a hash of the id and the replica: a global shuffle that is
     the same on every run. Columns of ``docs`` with these names are replaced.
     An empty table gives no rows; null texts have no bytes.
     """
     docs = docs.drop("replica", "rate", "shuffle_key")
-    found = rates(docs, weights, epochs).withColumnsRenamed({"source": "__source", "rate": "rate", "cdf": "__cdf"})
+    found = rates(docs, weights, epochs).withColumnsRenamed({"source": "__source", "draws": "__draws", "cdf": "__cdf"})
     # The number of sources is counted; only a checked number is broadcast.
     few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -77,10 +84,13 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
         spread = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = docs.withColumn("__own_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
         joined = salted.join(spread, same & (F.col("__own_salt") == F.col("__salt"))).drop("__salt", "__own_salt")
-    u = uniform(key, str(seed))
-    count = F.size(F.filter("__cdf", lambda c: c <= u))
-    copies = joined.withColumn("__n", count).where("__n > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    copies = copies.drop("__source", "__cdf", "__n").withColumn("shuffle_key", uniform(F.concat(key, F.lit("|"), F.col("replica").cast("string")), f"order{seed}"))
+    own_seed = lambda k: F.when(k == 0, F.lit(str(seed))).otherwise(F.concat(F.lit(f"{seed}."), k.cast("string")))
+    drawn = F.transform(F.sequence(F.lit(0), F.col("__draws") - 1), lambda k: uniform(key, own_seed(k)))
+    count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
+    # In blocks, so that no array grows with a document's copies.
+    blocks = joined.withColumn("__n", count).where("__n > 0").withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / BLOCK).cast("int"))))
+    copies = blocks.withColumn("replica", F.explode(F.sequence(F.col("__block") * BLOCK, F.least(F.col("__n"), (F.col("__block") + 1) * BLOCK) - 1)))
+    copies = copies.drop("__source", "__draws", "__cdf", "__n", "__block").withColumn("shuffle_key", uniform(F.concat(key, F.lit("|"), F.col("replica").cast("string")), f"order{seed}"))
     if not shuffle:
         return copies
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
