@@ -40,6 +40,16 @@ def test_secrets_without_digits(text):
     assert pii.replaced(f"{text} 4")[0] == f"{new} 4"
 
 
+def test_bare_mentions_follow_titled_ones():
+    text = "Smith's? Mr. John Smith came. Later Smith left; JOHN SMITH's hat, John-Smith, _Smith_. A smith, Smithson and smith.John@mail.example.com stay. Mr. Smith's end."
+    new, kinds = pii.replaced(text)
+    given, surname = new.split("Mr. ")[1].split()[:2]
+    rest = pii.replaced("smith.John@mail.example.com")[0]
+    assert new == f"{surname}'s? Mr. {given} {surname} came. Later {surname} left; {given.upper()} {surname.upper()}'s hat, {given}-{surname}, _{surname}_. A smith, Smithson and {rest} stay. Mr. {surname}'s end."
+    assert kinds.count("surname") == 7 and kinds.count("given-m") == 3
+    assert pii.replaced("Smith and John have no title") == ("Smith and John have no title", [])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="abc019.é", min_size=1, max_size=6), unique=True, max_size=30))
 def test_permutation_is_one_to_one_and_keeps_form(values):

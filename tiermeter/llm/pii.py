@@ -4,7 +4,9 @@ Detected entities get keyed replacements of their own type and format. Digits
 and letters are permuted within their script by a keyed Feistel network over the
 entity's own mixed-radix number space, so different entities of one format can't
 meet, and the same entity is the same everywhere. Names are spelt from syllables
-of their script with an ending of their gender. A check over all entities finds
+of their script with an ending of their gender. A name is known by a form of
+address before it; its document's other capitalised mentions then follow, and
+names that a document never gives a form of address stay. A check over all entities finds
 surrogates that meet each other or a real entity and draws those again.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 from math import prod
@@ -33,6 +36,7 @@ EITHER = ("Dr", "Prof")
 RESERVED = ("example.com", "example.org", "example.net", "example", "test", "invalid", "localhost")
 
 _GENDER = {w: "m" for w in MALE} | {w: "f" for w in FEMALE} | {w: "u" for w in EITHER}
+_TITLES = {w.lower() for w in _GENDER}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LETTER = r"[^\W\d_]"
 PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
@@ -48,6 +52,9 @@ PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
 NAMES = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})(?:\.|\b)[ \t]+({_LETTER}[\w'’-]+(?:[ \t]+{_LETTER}[\w'’-]+){{0,2}})")
 _MAYBE = re.compile(r"[\d@]")
 _WORD = re.compile(r"[^\s]+")
+#: A word that may be a name, and its parts.
+_BARE, _PART = re.compile(r"[^\W_]+(?:[_'’-]+[^\W_]+)*"), re.compile(r"[^\W_]+")
+_POSSESSIVE = re.compile(r"['’][sS]$")
 #: Case-folded; every secret that may be without digits has one of them.
 _SECRET_WORDS = ("token", "secret", "passw", "key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
@@ -96,14 +103,37 @@ def detect(text: str) -> list[Entity]:
             words = [(m.start(2) + w.start(), m.start(2) + w.end(), w.group()) for w in _WORD.finditer(m.group(2))]
             names = words[: next((i for i, w in enumerate(words) if not w[2][0].isupper()), len(words))]
             for i, (s, e, w) in enumerate(names):
-                w = w.rstrip("'’-")
+                w = _POSSESSIVE.sub("", w.rstrip("'’-_"))
                 e = s + len(w)
                 kind = "surname" if i == len(names) - 1 else f"given-{_GENDER[m.group(1)]}"
                 if not any(a < e and s < z for a, z, *_ in found):
                     found.append((s, e, kind, w.lower()))
+        found += _bare_names(text, sorted(found))
     return sorted(found)
 
 
+def _bare_names(text: str, found: list[Entity]) -> list[Entity]:
+    """Further capitalised mentions of the names in ``found``, which is in order.
+
+    A name that is of several kinds in the text is of its first kind.
+    """
+    kinds: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if (kind == "surname" or kind.startswith("given")) and len(value) > 1 and value not in _TITLES:
+            kinds.setdefault(value, kind)
+    if not kinds:
+        return []
+    starts, out = [f[0] for f in found], []
+    for m in _BARE.finditer(text):
+        whole = _POSSESSIVE.sub("", m.group())
+        spans = [(m.start(), whole)] if whole.lower() in kinds else [(m.start() + p.start(), p.group()) for p in _PART.finditer(m.group())]
+        for s, w in spans:
+            i = bisect_left(starts, s + len(w))  # of those that start before the end, the last ends last
+            if w[0].isupper() and w.lower() in kinds and not (i and found[i - 1][1] > s):
+                out.append((s, s + len(w), kinds[w.lower()], w.lower()))
+    return out
+
+
 def canonical(kind: str, raw: str) -> str:
     """One spelling for all mentions of an entity."""
     if kind in ("card", "iban"):
