@@ -168,10 +168,17 @@ def json_field(spark, d):
 
 @query(f"WITH {REPLIES_SQL} SELECT conv_id, turn, contains(lower(' ' || reply || ' '), ' the ') AS hit FROM replies WHERE regexp_matches(reply, '^[A-Za-z ,.\\n:%0-9]*$')")
 def contains_cmp(spark, d):
+    """Replies that need no normalising, as SQL can compare them; ``contains_all`` takes them all."""
     plain = said(spark, d).where(F.col("reply").rlike(r"^[A-Za-z ,.\n:%0-9]*$"))
     return plain.select("conv_id", "turn", F.contains(F.lower(F.concat(F.lit(" "), "reply", F.lit(" "))), F.lit(" the ")).alias("hit"))
 
 
+@query()
+def contains_all(spark, d):
+    """Every reply by the comparator, which normalises; SQL can't follow it."""
+    return said(spark, d).select("conv_id", "turn", text.compare(F.col("reply"), F.lit("the"), "contains").alias("hit"))
+
+
 @query(f"WITH {REPLIES_SQL} SELECT conv_id, turn, trim(regexp_extract(reply, 'ANSWER: ([^\\n]*)', 1)) = CAST(conv_id % 1000 AS VARCHAR) AS equal FROM replies")
 def exact_cmp(spark, d):
     a = text.final_line_fast(F.col("reply"))
@@ -346,7 +353,7 @@ def prefix_match_topk(spark, d):
     """The task whose prompt is the longest that a request contains."""
     b = table(spark, d, "benchmark")
     req = b.select(F.col("item_id").alias("request_id"), F.concat(F.lit("Please answer: "), "text", F.lit(" Thanks.")).alias("request"))
-    return longest_contained(req, b.select(F.col("item_id").alias("task_id"), F.col("text").alias("prompt")))
+    return longest_contained(req, b.select(F.col("item_id").alias("task_id"), F.substring("text", 1, 80).alias("prompt")))
 
 
 @query("SELECT item_id, 'p-' || item_id AS task_id, 1.0e0 / (1.0e0 + exp(-(3.0e0 - (item_id % 7)::DOUBLE))) AS p, (CAST(('0x' || sha256('0|fast|p-' || item_id || '|0|correct')[1:16]) AS UBIGINT)::DOUBLE + 0.5e0) / 18446744073709551616.0e0 < 1.0e0 / (1.0e0 + exp(-(3.0e0 - (item_id % 7)::DOUBLE))) AS correct FROM benchmark")
