@@ -11,3 +11,8 @@ def test_contains_compares_every_reply(spark):
     same = text.comparator("contains")
     want = sorted((r.conv_id, r.turn, same(r.reply, "the")) for r in said(spark, SF).collect())
     assert sorted(map(tuple, all_queries()["contains_all"](spark, SF).collect())) == want
+
+
+def test_simulated_prompts_are_whole(spark):
+    want = sorted(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    assert sorted((r.seq, r.prompt) for r in sim_tasks(spark, SF).collect()) == want and max(len(t) for _, t in want) > 80

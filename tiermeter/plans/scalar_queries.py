@@ -353,7 +353,7 @@ def prefix_match_topk(spark, d):
     """The task whose prompt is the longest that a request contains."""
     b = table(spark, d, "benchmark")
     req = b.select(F.col("item_id").alias("request_id"), F.concat(F.lit("Please answer: "), "text", F.lit(" Thanks.")).alias("request"))
-    return longest_contained(req, b.select(F.col("item_id").alias("task_id"), F.substring("text", 1, 80).alias("prompt")))
+    return longest_contained(req, b.select(F.col("item_id").alias("task_id"), F.col("text").alias("prompt")))
 
 
 @query("SELECT item_id, 'p-' || item_id AS task_id, 1.0e0 / (1.0e0 + exp(-(3.0e0 - (item_id % 7)::DOUBLE))) AS p, (CAST(('0x' || sha256('0|fast|p-' || item_id || '|0|correct')[1:16]) AS UBIGINT)::DOUBLE + 0.5e0) / 18446744073709551616.0e0 < 1.0e0 / (1.0e0 + exp(-(3.0e0 - (item_id % 7)::DOUBLE))) AS correct FROM benchmark")
@@ -365,7 +365,7 @@ def simulated_draws(spark, d):
 
 def sim_tasks(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "documents")
-    return b.select(F.col("doc_id").alias("seq"), F.concat(F.lit("d"), "doc_id").alias("id"), F.substring("text", 1, 80).alias("prompt"), (F.col("n_chars") % 97).cast("string").alias("reference"), F.lit(None).cast("string").alias("meta"), (F.col("doc_id") % 7).cast("double").alias("difficulty"))
+    return b.select(F.col("doc_id").alias("seq"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("prompt"), (F.col("n_chars") % 97).cast("string").alias("reference"), F.lit(None).cast("string").alias("meta"), (F.col("doc_id") % 7).cast("double").alias("difficulty"))
 
 
 TIERS = (Tier("fast", Answerer("fast", skill=3.0, overconfidence=0.05), 0.7), Tier("slow", Answerer("slow", skill=6.0, input_price=5.0, output_price=25.0)))
