@@ -16,3 +16,13 @@ def test_contains_compares_every_reply(spark):
 def test_simulated_prompts_are_whole(spark):
     want = sorted(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
     assert sorted((r.seq, r.prompt) for r in sim_tasks(spark, SF).collect()) == want and max(len(t) for _, t in want) > 80
+
+
+def test_short_prompts_are_found(spark):
+    prompts = ["", None, "a", "cat", "the cat", "Where is the cat that sat on the mat", "dog", "cat"]
+    requests = ["xx", "a", "cat", "So the cat", "Please: Where is the cat that sat on the mat?", "do g", "", None]
+    t = spark.createDataFrame(list(enumerate(prompts)), "task_id long, prompt string")
+    r = spark.createDataFrame(list(enumerate(requests)), "request_id long, request string")
+    want = [(i, max((len(p), k) for k, p in enumerate(prompts) if p and p in q)[1]) for i, q in enumerate(requests) if q and any(p and p in q for p in prompts)]
+    assert sorted(map(tuple, longest_contained(r, t).collect())) == want
+    assert longest_contained(r, t.where("prompt = ''")).count() == 0
