@@ -26,3 +26,11 @@ def test_short_prompts_are_found(spark):
     want = [(i, max((len(p), k) for k, p in enumerate(prompts) if p and p in q)[1]) for i, q in enumerate(requests) if q and any(p and p in q for p in prompts)]
     assert sorted(map(tuple, longest_contained(r, t).collect())) == want
     assert longest_contained(r, t.where("prompt = ''")).count() == 0
+
+
+def test_coverage_takes_all_seeds(spark, monkeypatch):
+    seeds = []
+    redraw = curve_queries.montecarlo.redraw
+    monkeypatch.setattr(curve_queries.montecarlo, "redraw", lambda cases, n: seeds.append(n) or redraw(cases, 2))
+    all_queries()["coverage_full"](spark, SF)
+    assert seeds == [5000]

@@ -227,10 +227,10 @@ def census(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def coverage_full(spark, d):
-    """Coverage of the finite-population interval over 200 redrawn audits."""
+    """Coverage of the finite-population interval over 5,000 redrawn audits."""
     c = census(spark, d)
     truth = c.agg(F.avg(F.col("disagree").cast("double")).alias("t")).first().t
-    return montecarlo.coverage(montecarlo.intervals(montecarlo.redraw(c, 200), 0.15), truth)
+    return montecarlo.coverage(montecarlo.intervals(montecarlo.redraw(c, 5000), 0.15), truth)
 
 
 @query()
