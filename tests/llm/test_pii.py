@@ -70,6 +70,106 @@ def test_collisions_are_drawn_again(spark):
     assert len(set(new)) == 13 and not set(new) & {r.value for r in rows} and any(r.draw for r in rows)
 
 
+@pytest.mark.parametrize("text", ["password: ********", "password: \u0e23\u0e2b\u0e31\u0e2a\u0e1c\u0e48\u0e32\u0e19\u0e25\u0e31\u0e1a", "secret=\u3072\u307f\u3064\u306e\u3053\u3068\u3070\u3060", "token: \u05e1\u05d5\u05d3\u05e1\u05d5\u05d3\u05e1\u05d5\u05d3", "api_key: \ube44\ubc00\ubc88\ud638\ube44\ubc00\ubc88\ud638", "secret: " + "\u00df" * 9])
+def test_secrets_of_any_script_settle(spark, text):
+    new, kinds = pii.replaced(text)
+    assert kinds == ["secret"] and new != text and len(new) == len(text) and new.split()[0][:5] == text.split()[0][:5]
+
+
+def test_full_spaces_settle(spark):
+    """All addresses of a private network, and secrets, are given distinct surrogates that none of them has."""
+    values = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)] + [("secret", "********"), ("secret", "#" * 8)]
+    rows = pii.settled(spark.createDataFrame(values, "kind string, value string")).collect()
+    new = {r.surrogate for r in rows}
+    assert len(rows) == len(new) == len(values) and not new & {v for _, v in values}
+
+
+def test_people_keep_one_name_whatever_the_title():
+    new, _ = pii.replaced("Mr. John Smith came. Dr. John Smith left. Smith and John. Prof. Dr. Anna Lee; Ms. Lee")
+    w = new.replace(".", "").replace(";", "").split()
+    assert w[1:3] == w[5:7] and w[8] == w[2] and w[10] == w[1] and w[14] == w[16]
+    assert "John" not in new and "Smith" not in new and "Lee" not in new
+    anna = next(e for e in pii.detect("Prof. Dr. Anna Lee; Ms. Lee") if e[3] == "anna")
+    assert anna[2] == "given-f"
+
+
+@pytest.mark.parametrize(("text", "name"), [("\u6211\u89c1\u5230\u5f20\u4f1f\u5148\u751f\u3002\u5f20\u4f1f\u8bf4", "\u5f20\u4f1f"), ("\u7530\u4e2d\u3055\u3093\u3068\u7530\u4e2d", "\u7530\u4e2d"), ("\uae40\ucca0\uc218 \uc528\ub294 \uae40\ucca0\uc218", "\uae40\ucca0\uc218"), ("\u0627\u0644\u0633\u064a\u062f \u0645\u062d\u0645\u062f \u0642\u0627\u0644 \u0645\u062d\u0645\u062f", "\u0645\u062d\u0645\u062f")])
+def test_names_of_other_scripts(text, name):
+    new, kinds = pii.replaced(text)
+    assert len(kinds) == 2 and name not in new
+    assert pii._script(pii.surrogate(kinds[0], name)[0]) == pii._script(name[0])
+
+
+def test_clean_words_beside_forms_of_address():
+    for text in ("\u7686\u3055\u3093", "\u304a\u5ba2\u69d8", "\u8001\u5e2b\u5148\u751f"):
+        assert pii.replaced(text) == (text, [])
+
+
+@pytest.mark.parametrize("unit", ["a", "1 ", "@a", "Mr ", "Mr. John Smith ", "a.b", "1.2", "+1 ", "token ", "token=", "12-", "AB12 ", "_-", "0af", "555 "])
+def test_long_texts_take_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    text = unit * (400_000 // len(unit)) + " a1 Mr. Ab Cd"
+    pii.replaced(text)
+    assert time.perf_counter() - began < 20
+
+
+def brute_force(rows):
+    """The texts rewritten by a loop over all entities, in one process."""
+    entities = {}
+    told = {}
+    for _, text in rows:
+        for _, _, kind, value in pii.detect(text or ""):
+            entities[kind, value] = 0
+            if kind in ("given-m", "given-f"):
+                told.setdefault(value, set()).add(kind)
+    drawn = {(k, v): next(iter(told[v])) if k == "given-u" and len(told.get(v, ())) == 1 else k for k, v in entities}
+    space = lambda k: "name" if pii.is_name(k) else k
+    real = {(space(k), v) for k, v in ((drawn[e], e[1]) for e in entities)}
+    draw = {(k, v): 0 for k, v in {(drawn[e], e[1]) for e in entities}}
+    while True:
+        groups = {}
+        for (k, v), d in draw.items():
+            groups.setdefault((space(k), pii.surrogate(k, v, d)), []).append((v, k))
+        again = [(k, v) for new, members in groups.items() for n, (v, k) in enumerate(sorted(members)) if n or new in real]
+        if not again:
+            break
+        for e in again:
+            draw[e] += 1
+    out = []
+    for doc_id, text in rows:
+        new, at = "", 0
+        for start, end, kind, value in pii.detect(text or ""):
+            k = drawn[kind, value]
+            new += text[at:start] + pii.shaped(k, text[start:end], pii.surrogate(k, value, draw[k, value]))
+            at = end
+        out.append((doc_id, None if text is None else new + text[at:]))
+    return out, real
+
+
+def test_whole_table_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    people = [(10**6 + k, t) for k, t in enumerate(["Dr. Kim Moss", "Ms. Kim Moss and Kim", "Prof. Kim Ray", "Mr. Bo Ray", "Mr. Bo Ray", None, ""])] + [(None, "Dr. Kim and a@x.example.com"), (None, "b@x.example.com"), (10**6, "c@x.example.com d@x.example.com")]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + people
+    frame = docs.union(spark.createDataFrame(people, "doc_id long, text string"))
+    want, real = brute_force(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    got = sorted(((r.doc_id, r.text) for r in pii.rewrite(frame).collect()), key=key)
+    assert got == sorted(want, key=key)
+    for _, text in got:  # nothing real is left
+        assert not any(v in (text or "").lower() for k, v in real if k in ("email", "iban", "ssn") and len(v) > 8)
+
+
+def test_key_of_the_session(spark):
+    d = spark.createDataFrame([(1, "a1@x.example.com")], "doc_id long, text string")
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.rewrite(d).first().text == pii.replaced("a1@x.example.com", key=b"another")[0]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_rewrite_follows_the_draws(spark):
     rows = [(k, f"mail {c}@x.example.com now", 20, "src") for k, c in enumerate("abcdefghijklm")] + [(None, "call a@x.example.com", 20, None), (99, None, None, None), (100, "", 0, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kinds string")

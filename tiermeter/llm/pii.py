@@ -5,33 +5,53 @@ and letters are permuted within their script by a keyed Feistel network over the
 entity's own mixed-radix number space, so different entities of one format can't
 meet, and the same entity is the same everywhere. Names are spelt from syllables
 of their script with an ending of their gender. A name is known by a form of
-address before it; its document's other capitalised mentions then follow, and
-names that a document never gives a form of address stay. A check over all entities finds
-surrogates that meet each other or a real entity and draws those again.
+address beside it; its document's other mentions then follow, and names that a
+document never gives a form of address stay. A person's name is one in a document
+whatever the title: the gender comes from any title of the name there, else from
+one of the surname's, else from the rest of the corpus.
+
+A check over all entities finds surrogates that meet each other or a real entity
+and draws those again. The first ``OWN_SPACE`` draws stay within the format;
+should its values be all taken, later draws widen it: one more letter, digit or
+syllable each, another private network and then IPv6 for addresses. So every
+input settles.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
+import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from math import prod
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiermeter.llm.common import arrow_schema, tidied, written
 
-KEY = b"surrogates of this corpus"
-ROUNDS, MOST_DRAWS = 8, 60
+#: The key of samples and tests; a run over real data sets its own, as an argument or in the session.
+KEY, KEY_SETTING = b"surrogates of this corpus", "spark.tiermeter.pii.key"
+ROUNDS, PIECE = 8, 256
+#: Draws within an entity's own format; each one after them widens it.
+OWN_SPACE = 8
+#: Rows of mentions that one task joins with redrawn entities.
+SALT_ROWS = 1 << 20
 
 # Forms of address with the gender they tell, by language.
-MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа")
+MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "господин", "السيد")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа", "السيدة", "الآنسة")
 EITHER = ("Dr", "Prof")
+# Forms of address after a name, and the surnames before them (Chinese, Korean).
+AFTER = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "さん": "u", "様": "u", "氏": "u", "씨": "u"}
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林郑梁谢宋唐许韩冯邓曹彭"
+HANGUL_SURNAMES = "김이박최정강조윤장임한오서신권황안송류홍"
+# What stands before a Japanese form of address without being a name.
+NO_NAMES = ("皆", "客", "奥", "神", "何")
 # Domains that are reserved for examples.
 RESERVED = ("example.com", "example.org", "example.net", "example", "test", "invalid", "localhost")
 
@@ -40,16 +60,18 @@ _TITLES = {w.lower() for w in _GENDER}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LETTER = r"[^\W\d_]"
 PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
-    ("email", re.compile(r"[\w.+%-]*[\w+%-]@[\w-]+(?:\.[\w-]+)+")),
+    ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]*[\w+%-]@[\w-]+(?:\.[\w-]+)+")),
     ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{8,})")),
     ("secret", re.compile(r"\b(?:(?=[0-9a-f]*\d)[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,})\b")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?\b")),
     ("card", re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{2,5}){1,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])")),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{2,5}){1,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])(?<!\d )\d{3}([ .-])\d{3}\1\d{4}(?![\d-])(?! \d)")),
 )
-NAMES = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})(?:\.|\b)[ \t]+({_LETTER}[\w'’-]+(?:[ \t]+{_LETTER}[\w'’-]+){{0,2}})")
+_TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
+NAMES = re.compile(rf"\b((?:(?:{_TITLE})(?:\.|\b)[ \t]+)+)({_LETTER}[\w'’-]*(?:[ \t]+{_LETTER}[\w'’-]+){{0,2}})")
+NAMES_BEFORE = re.compile(rf"([{HAN_SURNAMES}][一-龥]{{1,2}}?)(先生|女士|小姐|太太)|(?<![一-龥])([一-龥]{{1,4}}?)(さん|様|氏)|(?<![ァ-ヶー])([ァ-ヶー]{{2,}})(さん|様|氏)|(?<![가-힣])([{HANGUL_SURNAMES}][가-힣]{{1,2}}?) ?(씨)")
 _MAYBE = re.compile(r"[\d@]")
 _WORD = re.compile(r"[^\s]+")
 #: A word that may be a name, and its parts.
@@ -81,6 +103,12 @@ def _secret_word(folded: str) -> bool:
 Entity = tuple[int, int, str, str]
 
 
+def _free(found: list[Entity], start: int, end: int) -> bool:
+    """Does nothing in ``found`` (in order, without overlaps) share a character with start .. end?"""
+    i = bisect_left(found, (end,))
+    return not (i and found[i - 1][1] > start)
+
+
 def detect(text: str) -> list[Entity]:
     """Entities in order, without overlaps; where two overlap, the first kind of ``PATTERNS`` wins."""
     found: list[Entity] = []
@@ -89,7 +117,7 @@ def detect(text: str) -> list[Entity]:
             for m in pattern.finditer(text):
                 start, end = m.span(1) if kind == "secret" and pattern.groups else m.span()
                 raw = text[start:end]
-                if any(s < end and start < e for s, e, *_ in found):
+                if not _free(found, start, end):
                     continue
                 if kind == "card" and luhn(re.sub(r"\D", "", raw)):
                     continue
@@ -97,41 +125,86 @@ def detect(text: str) -> list[Entity]:
                     continue
                 if kind == "phone" and not 7 <= sum(c.isdigit() for c in raw) <= 15:
                     continue
-                found.append((start, end, kind, canonical(kind, raw)))
+                insort(found, (start, end, kind, canonical(kind, raw)))
+    people = _people(text)
+    if people:
+        kinds = _name_kinds(people)
+        for _, words in people:
+            for s, e, value in words:
+                if _free(found, s, e):
+                    insort(found, (s, e, kinds[value], value))
+        for entity in _bare_names(text, kinds):
+            if _free(found, entity[0], entity[1]):
+                insort(found, entity)
+    return found
+
+
+#: A mention with a form of address: the gender it tells, and start, end and value of each name, the surname last.
+Person = tuple[str, list[tuple[int, int, str]]]
+
+
+def _cased(c: str) -> bool:
+    return c.lower() != c.upper()
+
+
+def _people(text: str) -> list[Person]:
+    out: list[Person] = []
     if any(w in text for w in _GENDER):
         for m in NAMES.finditer(text):
-            words = [(m.start(2) + w.start(), m.start(2) + w.end(), w.group()) for w in _WORD.finditer(m.group(2))]
-            names = words[: next((i for i, w in enumerate(words) if not w[2][0].isupper()), len(words))]
-            for i, (s, e, w) in enumerate(names):
-                w = _POSSESSIVE.sub("", w.rstrip("'’-_"))
-                e = s + len(w)
-                kind = "surname" if i == len(names) - 1 else f"given-{_GENDER[m.group(1)]}"
-                if not any(a < e and s < z for a, z, *_ in found):
-                    found.append((s, e, kind, w.lower()))
-        found += _bare_names(text, sorted(found))
-    return sorted(found)
-
-
-def _bare_names(text: str, found: list[Entity]) -> list[Entity]:
-    """Further capitalised mentions of the names in ``found``, which is in order.
-
-    A name that is of several kinds in the text is of its first kind.
-    """
-    kinds: dict[str, str] = {}
-    for _, _, kind, value in found:
-        if (kind == "surname" or kind.startswith("given")) and len(value) > 1 and value not in _TITLES:
-            kinds.setdefault(value, kind)
-    if not kinds:
-        return []
-    starts, out = [f[0] for f in found], []
-    for m in _BARE.finditer(text):
+            told = [_GENDER[w] for w in re.findall(_TITLE, m.group(1))]
+            names = []
+            for w in _WORD.finditer(m.group(2)):
+                name = _POSSESSIVE.sub("", w.group().rstrip("'’-_"))
+                if _cased(name[0]) and not name[0].isupper() or name.lower() in _TITLES:
+                    break
+                names.append((m.start(2) + w.start(), m.start(2) + w.start() + len(name), name.lower()))
+                if not _cased(name[0]):  # where a name of several words ends isn't seen in scripts without case
+                    break
+            if names:
+                out.append((next((g for g in told if g != "u"), "u"), names))
+    if any(w in text for w in AFTER):
+        for m in NAMES_BEFORE.finditer(text):
+            k = next(i for i in (1, 3, 5, 7) if m.group(i))
+            if not m.group(k).endswith(NO_NAMES):
+                out.append((AFTER[m.group(k + 1)], [(*m.span(k), m.group(k))]))
+    return out
+
+
+def _name_kinds(people: list[Person]) -> dict[str, str]:
+    """One kind for each name of a document: surname, or given with the gender that is known."""
+    surname: dict[str, bool] = {}
+    gender: dict[str, str] = {}
+    of_surname: dict[str, str] = {}
+    for told, words in sorted(people, key=lambda p: len(p[1]) == 1):  # full names tell the roles
+        for i, (_, _, value) in enumerate(words):
+            whole = _script(value[0]) in _FIRST
+            surname.setdefault(value, i == len(words) - 1 and not whole)
+            if whole and told != "u":
+                gender.setdefault(value, told)
+        if told != "u":
+            of_surname.setdefault(words[-1][2], told)
+            for _, _, value in words[:-1]:
+                gender.setdefault(value, told)
+    for _, words in people:
+        for _, _, value in words[:-1]:
+            if words[-1][2] in of_surname:
+                gender.setdefault(value, of_surname[words[-1][2]])
+    return {v: "surname" if last else f"given-{gender.get(v, 'u')}" for v, last in surname.items()}
+
+
+def _bare_names(text: str, kinds: dict[str, str]) -> Iterator[Entity]:
+    """Every mention of the names in ``kinds`` that is written as a name is."""
+    kinds = {v: k for v, k in kinds.items() if len(v) > 1 and v not in _TITLES}
+    for m in _BARE.finditer(text) if kinds else ():
         whole = _POSSESSIVE.sub("", m.group())
         spans = [(m.start(), whole)] if whole.lower() in kinds else [(m.start() + p.start(), p.group()) for p in _PART.finditer(m.group())]
         for s, w in spans:
-            i = bisect_left(starts, s + len(w))  # of those that start before the end, the last ends last
-            if w[0].isupper() and w.lower() in kinds and not (i and found[i - 1][1] > s):
-                out.append((s, s + len(w), kinds[w.lower()], w.lower()))
-    return out
+            if w.lower() in kinds and (w[0].isupper() or not _cased(w[0])):
+                yield s, s + len(w), kinds[w.lower()], w.lower()
+    unspaced = [v for v in kinds if _script(v[0]) in ("cjk", "katakana", "hangul")]
+    if unspaced:  # no spaces tell where these begin
+        for m in re.finditer("|".join(map(re.escape, sorted(unspaced, key=len, reverse=True))), text):
+            yield m.start(), m.end(), kinds[m.group()], m.group()
 
 
 def canonical(kind: str, raw: str) -> str:
@@ -143,21 +216,34 @@ def canonical(kind: str, raw: str) -> str:
     return raw.lower() if kind == "email" else raw
 
 
-# Alphabets by script; a character stays within its own.
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)])))
+_PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _CJK = "".join(map(chr, range(0x4E00, 0x9FA6)))
 _HEX = "0123456789abcdef"
+#: ASCII signs that may be in a secret.
+_SIGNS = "!#$%&()*+-./:<=>?@[]^_`{|}~"
 
 
-def _alphabet(c: str, hexadecimal: bool) -> str | None:
-    if hexadecimal:
-        return _HEX if c in _HEX else None
-    for a in _ALPHABETS:
+@lru_cache(1 << 14)
+def _alphabet(c: str, signs: bool) -> str | None:
+    """The characters that may stand for ``c``, itself among them; None where it stays.
+
+    Beyond ASCII and ideographs these are the characters of its sort in its block
+    of 128. Letters whose case can't be changed and changed back are a sort of
+    their own.
+    """
+    for a in (*_PLAIN, *((_SIGNS,) if signs else ())):
         if c in a:
             return a
-        if c.lower() in a:
-            return a.upper() if len(a.upper()) == len(a) else None
-    return _CJK if "一" <= c <= "龥" else None
+    if c.isascii():
+        return None
+    if "一" <= c <= "龥":
+        return _CJK
+    sort = lambda x: (unicodedata.category(x), x.upper().lower() == x, x.lower().upper() == x)
+    if not signs and sort(c)[0][0] not in "LMN":
+        return None
+    first = ord(c) & ~0x7F
+    same = "".join(x for x in map(chr, range(first, first + 128)) if sort(x) == sort(c))
+    return same if len(same) > 1 else None
 
 
 def _noise(key: bytes, *parts: object) -> int:
@@ -177,9 +263,14 @@ def _feistel(key: bytes, tweak: str, value: int, radices: list[int]) -> int:
     return a * right + b
 
 
-def permute(key: bytes, tweak: str, text: str, hexadecimal: bool = False) -> str:
-    """``text`` with each letter and digit changed within its alphabet, the rest kept."""
-    alphabets = [_alphabet(c, hexadecimal) for c in text]
+def permute(key: bytes, tweak: str, text: str, hexadecimal: bool = False, signs: bool = False) -> str:
+    """``text`` with each letter and digit (with ``signs`` each character) changed within its alphabet, the rest kept.
+
+    Long texts are permuted by pieces of ``PIECE`` characters.
+    """
+    if len(text) > PIECE:
+        return "".join(permute(key, f"{tweak}|{k}", text[k : k + PIECE], hexadecimal, signs) for k in range(0, len(text), PIECE))
+    alphabets = [_HEX if hexadecimal and c in _HEX else _alphabet(c, signs) for c in text]
     radices = [len(a) for a in alphabets if a]
     if not radices:
         return text
@@ -198,57 +289,125 @@ def permute(key: bytes, tweak: str, text: str, hexadecimal: bool = False) -> str
     return "".join(reversed(out))
 
 
+def _more(key: bytes, tweak: str, value: str, n: int, alphabet: str) -> str:
+    """``n`` keyed characters that widen a format."""
+    seed, out = _noise(key, tweak, value, "more"), ""
+    for k in range(n):
+        if k % 40 == 39:
+            seed = _noise(key, tweak, value, k)
+        seed, d = divmod(seed, len(alphabet))
+        out += alphabet[d]
+    return out
+
+
 # Syllables and endings by script, for spelling names.
-_SYLLABLES = {"latin": [a + b for a in "bdfglmnprstv" for b in "aeiou"], "cyrillic": [a + b for a in "бвгдлмнпрст" for b in "аеиоу"], "greek": [a + b for a in "βγδλμνπρστ" for b in "αεηιο"]}
-_ENDINGS = {"latin": {"m": ("n", "r", "s", "ld"), "f": ("na", "lia", "ra", "nia"), "u": ("l", "n"), "surname": ("son", "mer", "ner", "ly")}, "cyrillic": {"m": ("н", "р", "й"), "f": ("на", "ра", "ия"), "u": ("н", "л"), "surname": ("ко", "нук", "вич")}, "greek": {"m": ("ς", "ος"), "f": ("να", "ια"), "u": ("ης",), "surname": ("ίδης", "άκης")}}
+_SYLLABLES = {
+    "latin": [a + b for a in "bdfglmnprstv" for b in "aeiou"],
+    "cyrillic": [a + b for a in "бвгдлмнпрст" for b in "аеиоу"],
+    "greek": [a + b for a in "βγδλμνπρστ" for b in "αεηιο"],
+    "arabic": [a + b for a in "بتدرسفكلمن" for b in "اوي"],
+    "cjk": list("文明建国志华永平安乐春秋清和天立大中新成"),
+    "katakana": list("アイウエオカキクケコサシスセソタチツテトナニノマミメモラリルレロ"),
+    "hangul": list("가나다라마바사아자하고노도로모보소오호기미지시리"),
+}
+_ENDINGS = {
+    "latin": {"m": ("n", "r", "s", "ld"), "f": ("na", "lia", "ra", "nia"), "u": ("l", "n"), "surname": ("son", "mer", "ner", "ly")},
+    "cyrillic": {"m": ("н", "р", "й"), "f": ("на", "ра", "ия"), "u": ("н", "л"), "surname": ("ко", "нук", "вич")},
+    "greek": {"m": ("ς", "ος"), "f": ("να", "ια"), "u": ("ης",), "surname": ("ίδης", "άκης")},
+    "arabic": {"m": ("د", "م"), "f": ("ة", "ى"), "u": ("ن",), "surname": ("ني", "دي")},
+    "cjk": {"m": ("伟", "强", "军", "杰"), "f": ("芳", "娜", "静", "丽"), "u": ("宁", "林"), "surname": ("田", "川", "村")},
+    "katakana": {"m": ("ロウ", "スケ"), "f": ("コ", "ミ"), "u": ("ン",), "surname": ("ダ", "ムラ")},
+    "hangul": {"m": ("준", "호"), "f": ("희", "숙"), "u": ("진",), "surname": ("우", "원")},
+}
+#: First characters of whole names, in scripts where the surname is the first.
+_FIRST = {"cjk": HAN_SURNAMES, "hangul": HANGUL_SURNAMES}
+
+
+@lru_cache(1 << 12)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0].split("-")[0].lower()
 
 
 def _name(key: bytes, kind: str, value: str, draw: int) -> str:
-    script = "cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "greek" if "Ͱ" <= value[0] <= "Ͽ" else "latin"
-    seed = _noise(key, kind, value, draw)
+    """Each part of the name spelt anew; in a script without syllables here, permuted within it."""
+    return _PART.sub(lambda m: _spelt(key, kind, m.group(), draw), value)
+
+
+def _spelt(key: bytes, kind: str, part: str, draw: int) -> str:
+    script = _script(part[0])
+    if script not in _SYLLABLES:
+        tail = _more(key, kind, part, draw - OWN_SPACE + 1, _alphabet(part[-1], True) or _PLAIN[1]) if draw >= OWN_SPACE else ""
+        return permute(key, f"{kind}|{draw}", part) + tail
+    seed = _noise(key, kind, part, draw)
+    first = _FIRST.get(script, "")
     out = ""
-    for _ in range((2 if kind == "surname" else 1) + min(1 + draw // 3, 8)):
-        seed, k = divmod(seed, len(_SYLLABLES[script]))
-        out += _SYLLABLES[script][k]
+    if first:
+        seed, k = divmod(seed, len(first))
+        out = first[k]
+    for k in range((0 if first else 2 if kind == "surname" else 1) + 1 + draw):
+        if k % 40 == 39:
+            seed = _noise(key, kind, part, draw, k)
+        seed, d = divmod(seed, len(_SYLLABLES[script]))
+        out += _SYLLABLES[script][d]
     endings = _ENDINGS[script]["surname" if kind == "surname" else kind[-1]]
     return out + endings[seed % len(endings)]
 
 
+def is_name(kind: str) -> bool:
+    return kind == "surname" or kind.startswith("given")
+
+
 def surrogate(kind: str, value: str, draw: int = 0, key: bytes = KEY) -> str:
     """The replacement of a canonical value; another for each ``draw``."""
     tweak = f"{kind}|{draw}"
-    if kind == "surname" or kind.startswith("given"):
+    wider = max(draw - OWN_SPACE + 1, 0)
+    if is_name(kind):
         return _name(key, kind, value, draw)
+    if kind == "ip":
+        return _address(key, tweak, value, draw)
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        if draw > 20:  # a space too small: one more letter
-            local += "abcdefghijklmnopqrstuvwxyz"[draw % 26]
+        local = permute(key, f"{tweak}|{domain}", local) + _more(key, tweak, value, wider, _PLAIN[1])
         if not any(domain == r or domain.endswith(f".{r}") for r in RESERVED):
             host, _, top = domain.rpartition(".")
             domain = f"{permute(key, 'domain', host)}.{top}"
-        return f"{permute(key, f'{tweak}|{value.partition("@")[2]}', local)}@{domain}"
+        return f"{local}@{domain}"
+    if kind == "secret":
+        return _secret(key, tweak, value) + _more(key, tweak, value, wider, _HEX)
+    digits = _more(key, tweak, value, wider, _PLAIN[0])
     if kind == "card":
-        body = value[0] + permute(key, tweak, value[1:-1])
+        body = value[0] + permute(key, tweak, value[1:-1]) + digits
         return body + str((10 - luhn(body + "0")) % 10)
     if kind == "iban":
-        body = permute(key, tweak, value[4:])
+        body = permute(key, tweak, value[4:]) + digits
         rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{98 - rest:02d}{body}"
-    if kind == "ip":
-        return _address(key, tweak, value)
     if kind == "phone":
         keep = min(2, len(value) - 7) if value[0] == "+" else 0
-        return value[:keep] + permute(key, tweak, value[keep:])
-    if kind == "secret":
-        plain = len(value) >= 16 and set(value) <= set(_HEX)
-        return permute(key, tweak, value, plain)
-    return permute(key, tweak, value)
+        return value[:keep] + permute(key, tweak, value[keep:]) + digits
+    return permute(key, tweak, value) + digits
+
+
+def _secret(key: bytes, tweak: str, value: str) -> str:
+    """Letters and digits are permuted, signs too where the others leave too few values; what has no alphabet gives hexadecimal digits."""
+    if len(value) >= 16 and set(value) <= set(_HEX):
+        return permute(key, tweak, value, hexadecimal=True)
+    few = prod(len(_alphabet(c, False) or "x") for c in value[:16]) < 1 << 20
+    if few and not any(_alphabet(c, True) for c in value):
+        return _more(key, tweak, value, len(value), _HEX)
+    return permute(key, tweak, value, signs=few)
 
 
-def _address(key: bytes, tweak: str, value: str) -> str:
-    """Within the same private network, or from public to public addresses."""
+def _address(key: bytes, tweak: str, value: str, draw: int) -> str:
+    """Within the same private network, or from public to public addresses; see the module for full ones."""
     parts = [int(p) for p in value.split(".")]
     fixed = 1 if parts[0] in (10, 127) else 2 if parts[:2] == [192, 168] or parts[0] == 172 and 16 <= parts[1] < 32 else 0
+    if draw >= OWN_SPACE:
+        noise = _noise(key, tweak, value)
+        if fixed and draw < 2 * OWN_SPACE:
+            return ".".join(map(str, (10, *(noise & 0xFFFFFF).to_bytes(3, "big"))))
+        number = f"{noise & (1 << 96) - 1:024x}"
+        return ("fd00:0:" if fixed else "2001:db8:") + ":".join(number[k : k + 4] for k in range(0, 24, 4))
     number = int.from_bytes(bytes(parts[fixed:]), "big")
     while True:
         number = _feistel(key, f"{tweak}|{parts[:fixed]}", number, [256] * (4 - fixed))
@@ -263,50 +422,72 @@ def shaped(kind: str, raw: str, new: str) -> str:
     """The surrogate in the format of the mention: its separators and its case."""
     if kind in ("card", "iban", "phone"):
         signs = iter(new.lstrip("+"))
-        return "".join(next(signs, "") if c.isalnum() else c for c in raw)
+        return "".join(next(signs, "") if c.isalnum() else c for c in raw) + "".join(signs)
     if kind == "email":
         if raw.isupper():
             return new.upper()
         return new[0].upper() + new[1:] if raw[0].isupper() else new
-    if kind == "surname" or kind.startswith("given"):
-        return new.upper() if raw.isupper() and len(raw) > 1 else new[0].upper() + new[1:]
+    if is_name(kind):
+        return new.upper() if raw.isupper() and len(raw) > 1 else _PART.sub(lambda m: m.group()[0].upper() + m.group()[1:], new)
     return new
 
 
-def replaced(text: str, draws: dict[tuple[str, str], int] | None = None, key: bytes = KEY) -> tuple[str, list[str]]:
+#: For entities that differ from their first draw: the kind to draw as, and the draw.
+Fixes = dict[tuple[str, str], tuple[str, int]]
+
+
+def replaced(text: str, fixes: Fixes | None = None, key: bytes = KEY) -> tuple[str, list[str]]:
     """The text with its entities replaced, and their kinds in order."""
     found = detect(text)
     if not found:
         return text, []
     out, at = [], 0
     for start, end, kind, value in found:
-        draw = draws.get((kind, value), 0) if draws else 0
-        out += [text[at:start], shaped(kind, text[start:end], surrogate(kind, value, draw, key))]
+        drawn, draw = (fixes or {}).get((kind, value), (kind, 0))
+        out += [text[at:start], shaped(kind, text[start:end], surrogate(drawn, value, draw, key))]
         at = end
     return "".join([*out, text[at:]]), [f[2] for f in found]
 
 
-MENTION = "doc_id long, kind string, value string"
+MENTION = "place long, kind string, value string"
+
+
+def _place(docs: DataFrame) -> DataFrame:
+    """With ``__place``: a hash of id and text. Rows that meet in it by chance only share their fixes, which are by value."""
+    return docs.withColumn("__place", F.xxhash64("doc_id", "text"))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """Distinct (``doc_id``, ``kind``, ``value``) of each document."""
+    """Distinct (``place``, ``kind``, ``value``) of each document."""
     target = arrow_schema(MENTION)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, k, v) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, v in dict.fromkeys(e[2:] for e in detect(t))]
+            rows = [(p, k, v) for p, t in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, v in dict.fromkeys(e[2:] for e in detect(t))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), MENTION)
+    return _place(docs).select(F.col("__place").alias("place"), "text").mapInArrow(tidied(run), MENTION)
+
+
+def drawn_as(found: DataFrame) -> DataFrame:
+    """``found`` with ``drawn``: the kind, with the one gender that the corpus knows for a given name of none."""
+    drawn = F.col("kind").alias("drawn")
+    if found.where("kind = 'given-u'").isEmpty():
+        return found.select("*", drawn)
+    told = found.where("kind in ('given-m', 'given-f')").groupBy("value").agg(F.min("kind").alias("told"), F.max("kind").alias("other"))
+    told = told.where("told = other").select("value", "told")
+    none = found.where("kind = 'given-u'").join(told, "value", "left").select(*found.columns, F.coalesce("told", "kind").alias("drawn"))
+    return written(found.where("kind <> 'given-u'").select("*", drawn).union(none), "mentions")
 
 
 def settled(values: DataFrame, key: bytes = KEY) -> DataFrame:
     """(``kind``, ``value``, ``draw``, ``surrogate``) with all surrogates distinct and none a real value.
 
-    A surrogate that two values share stays with the lower one; the others, and
-    those that are real values, are drawn again until none meets another.
+    Names of all kinds are one space. A surrogate that two values share stays
+    with the lower one; the others, and those that are real values, are drawn
+    again until none meets another. Draws widen the format after ``OWN_SPACE``
+    of them, so there is always an end.
     """
     schema = "kind string, value string, draw int, surrogate string"
     target = arrow_schema(schema)
@@ -317,43 +498,54 @@ def settled(values: DataFrame, key: bytes = KEY) -> DataFrame:
             new = [surrogate(k, v, d, key) for k, v, d in zip(c["kind"], c["value"], c["draw"], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c["kind"]), pa.array(c["value"]), pa.array(c["draw"], pa.int32()), pa.array(new, pa.string())], schema=target)
 
+    space = F.when(F.col("kind").startswith("given") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind"))
     real = written(values.select("kind", "value").distinct(), "entities")
+    taken = real.select(space.alias("space"), F.col("value").alias("surrogate"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(-1).alias("draw")).distinct()
     now = written(real.withColumn("draw", F.lit(0)).mapInArrow(run, schema), "surrogates")
-    for _ in range(MOST_DRAWS):
-        rows = now.select("kind", "surrogate", "value", "draw").union(real.select("kind", F.col("value").alias("surrogate"), F.lit(None).cast("string").alias("value"), F.lit(-1).alias("draw")))
-        by = Window.partitionBy("kind", "surrogate")
-        met = rows.withColumn("real", F.max(F.col("value").isNull()).over(by)).withColumn("nth", F.row_number().over(by.orderBy(F.col("value").asc_nulls_last())))
+    while True:
+        rows = now.select(space.alias("space"), "surrogate", "kind", "value", "draw").union(taken)
+        by = Window.partitionBy("space", "surrogate")
+        met = rows.withColumn("real", F.max(F.col("value").isNull()).over(by)).withColumn("nth", F.row_number().over(by.orderBy(F.col("value").asc_nulls_last(), "kind")))
         again = written(met.where("value is not null and (real or nth > 1)").select("kind", "value", (F.col("draw") + 1).alias("draw")), "again")
         if again.isEmpty():
             return now
         now = written(now.join(again.select("kind", "value"), ["kind", "value"], "left_anti").union(again.mapInArrow(run, schema)), "surrogates")
-    raise ValueError(f"surrogates still meet after {MOST_DRAWS} draws")
 
 
 COUNTS = "__pii_kinds"
 
 
-def rewrite(docs: DataFrame, key: bytes = KEY, kinds: bool = False) -> DataFrame:
+def key_of(spark: SparkSession, key: bytes | None = None) -> bytes:
+    """``key``, else that of the session, else the samples' key."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return key or (named.encode() if named else KEY)
+
+
+def rewrite(docs: DataFrame, key: bytes | None = None, kinds: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; ``n_chars``, if there, follows the text.
 
     With ``kinds`` a column ``__pii_kinds`` lists the kinds replaced. A null
     text stays null. Rows with null or repeated ids are rewritten like others.
+    ``key`` falls back to the session's ``spark.tiermeter.pii.key``.
     """
-    found = written(mentions(docs), "mentions")
-    odd = settled(found, key).where("draw > 0").select("kind", "value", "draw")
+    key = key_of(docs.sparkSession, key)
+    found = drawn_as(written(mentions(docs), "mentions"))
+    odd = settled(found.select(F.col("drawn").alias("kind"), "value"), key).where("draw > 0").select(F.col("kind").alias("drawn"), "value", "draw")
     columns = [f for f in docs.schema.fields]
-    source = docs
-    if odd.isEmpty():
-        source = docs.withColumn("__draws", F.lit(None).cast("string"))
+    if odd.isEmpty() and found.where("drawn <> kind").isEmpty():
+        source = docs.withColumn("__fixes", F.lit(None).cast("string"))
     else:
-        # By document and written, so that Catalyst knows its size and broadcasts it only if small.
-        of_doc = found.join(odd, ["kind", "value"]).groupBy("doc_id").agg(F.to_json(F.collect_list(F.struct("kind", "value", "draw"))).alias("__draws"))
-        of_doc = written(of_doc.withColumnRenamed("doc_id", "__id"), "draws")
-        source = docs.join(of_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+        # A frequent entity is spread over tasks by the number of mentions.
+        salts = found.count() // SALT_ROWS + 1
+        spread = odd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        fixed = found.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(salts)).cast("int")).join(spread, ["drawn", "value", "salt"], "left").where("draw is not null or drawn <> kind")
+        of_doc = fixed.groupBy("place").agg(F.to_json(F.collect_list(F.struct("kind", "value", "drawn", F.coalesce("draw", F.lit(0)).alias("draw")))).alias("__fixes"))
+        # Written, so that Catalyst knows its size and broadcasts it only if small.
+        source = _place(docs).join(written(of_doc.withColumnRenamed("place", "__place"), "fixes"), "__place", "left")
     out_schema = docs.schema
     if kinds:
         out_schema = docs.withColumn(COUNTS, F.array().cast("array<string>")).schema
-    source = source.select(*[F.col(f"`{f.name}`") for f in columns], "__draws")
+    source = source.select(*[F.col(f"`{f.name}`") for f in columns], "__fixes")
     return source.mapInArrow(tidied(_rewriter(key, kinds, [f.name for f in columns])), out_schema)
 
 
@@ -361,8 +553,8 @@ def _rewriter(key: bytes, kinds: bool, names: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new, listed, sizes = [], [], []
-            for text, draws in zip(batch.column("text").to_pylist(), batch.column("__draws").to_pylist(), strict=True):
-                other = {(d["kind"], d["value"]): d["draw"] for d in json.loads(draws)} if draws else None
+            for text, fixes in zip(batch.column("text").to_pylist(), batch.column("__fixes").to_pylist(), strict=True):
+                other = {(d["kind"], d["value"]): (d["drawn"], d["draw"]) for d in json.loads(fixes)} if fixes else None
                 t, k = (None, []) if text is None else replaced(text, other, key)
                 new.append(t)
                 listed.append(k)
@@ -379,7 +571,7 @@ def _rewriter(key: bytes, kinds: bool, names: list[str]) -> Callable:
     return run
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``doc_id``, ``text`` with surrogates, ``n_replaced`` and ``kinds`` for every row.
 
     A null text stays null with nothing replaced; an empty table gives an empty
