@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tiermeter.llm import graph, ngram_join
 
@@ -75,6 +76,23 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def test_buckets_give_the_same(spark, monkeypatch):
+    """Components whose buckets hold fewer pairs are verified by bucket, with each pair counted once."""
+    rows = corpus(2, base=4, copies=30)
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(ngram_join, "_units", lambda candidates, members: members.select(F.col("bucket").alias("unit"), "band", "node"))
+    assert result(spark, rows) == brute(rows)
+
+
+def test_a_chain_is_verified_by_its_buckets(spark, monkeypatch):
+    """A long chain of texts, each like the next alone, has few pairs in its buckets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 64)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(1500)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(340)]
+    assert result(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert result(spark, []) == []
 
@@ -86,11 +104,26 @@ def test_one_of_each_keeps_columns_and_odd_rows(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got.collect()) == [-1, 1, 5, 7, 8]
 
 
+def test_repeated_ids_of_different_texts_lose_nothing(spark):
+    a, b, c = "a b c d e f g", "q w e r t y u", "z x c v b n m"
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, "Z  x c v b n m"), (4, None), (4, ""), (4, a), (5, c)]
+    got = sorted((r.doc_id, r.text or "") for r in ngram_join.one_of_each(frame(spark, rows)).collect())
+    assert [(d, t) for d, t in got if d < 3] == [(1, a), (2, b)]
+    assert len([t for d, t in got if d == 3]) == 1 and [t for d, t in got if d == 4] == ["", ""] and len(got) == 5
+    assert result(spark, rows) == brute(rows)
+
+
 def test_band_choice_reaches_its_recall():
     bands, rows = ngram_join.bands_and_rows(0.8, 0.9995)
     assert bands * rows <= ngram_join.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.9995
 
 
+@pytest.mark.parametrize("threshold", [0.03, 0.06, 0.2, 0.5, 0.95, 1.0])
+def test_any_threshold_reaches_its_recall(threshold):
+    bands, rows = ngram_join.bands_and_rows(threshold, 0.9995)
+    assert 1 - (1 - threshold**rows) ** bands >= 0.9995
+
+
 def test_linked_across_two_lists():
     a = [np.array([1, 2, 3, 4], dtype=np.uint64), np.array([9, 10], dtype=np.uint64)]
     b = [np.array([1, 2, 3, 4, 5], dtype=np.uint64), np.array([9, 11], dtype=np.uint64)]

@@ -16,6 +16,24 @@ TASK_EDGES = 1 << 20
 LABELS = "node long, root long"
 
 
+#: Parts of all rows above which a key is hot; there can be no more hot keys than that.
+HOT_KEYS = 4096
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, count: str, total: int, how: str) -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) by ``key`` with ``one``, a written table that has a row for each key.
+
+    ``count`` is how many of the ``total`` rows have the key. Keys with more than
+    a ``HOT_KEYS``-th of the rows are at most ``HOT_KEYS``; they are broadcast,
+    so none of them fills a task. The others are joined as usual.
+    """
+    hot = F.col(count) > max(total // HOT_KEYS, 1)
+    few = F.broadcast(one.where(hot))
+    many = rows.join(few, key, "inner")
+    rest = rows.join(few.select(key), key, "left_anti").join(one.where(~hot), key, how)
+    return many.union(rest)
+
+
 def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes, and the lowest node of each one's component."""
     node, place = np.unique(np.concatenate((u, v)), return_inverse=True)
@@ -51,15 +69,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     moves: list[DataFrame] = []
-    while edges.count() > TASK_EDGES:
+    while (n_edges := edges.count()) > TASK_EDGES:
         salt = F.lit(len(moves))
         both = edges.union(edges.select("v", "u"))
-        best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", salt).alias("h"), F.col("v").alias("to"))).alias("b"))
+        best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", salt).alias("h"), F.col("v").alias("to"))).alias("b"), F.count("*").alias("degree"))
         own = F.xxhash64("u", salt)
-        move = written(best.select(F.col("u").alias("node"), F.when(F.col("b.h") < own, F.col("b.to")).otherwise(F.col("u")).alias("to")), "moves")
+        move = written(best.select(F.col("u").alias("node"), F.when(F.col("b.h") < own, F.col("b.to")).otherwise(F.col("u")).alias("to"), "degree"), "moves")
         moves.append(move)
-        left = edges.join(move.select(F.col("node").alias("u"), F.col("to").alias("x")), "u")
-        full = left.join(move.select(F.col("node").alias("v"), F.col("to").alias("y")), "v")
+        left = hot_join(edges, move.select(F.col("node").alias("u"), F.col("to").alias("x"), "degree"), "u", "degree", n_edges, "inner").drop("degree")
+        full = hot_join(left, move.select(F.col("node").alias("v"), F.col("to").alias("y"), "degree"), "v", "degree", n_edges, "inner")
         edges = written(full.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
     labels = written(edges.coalesce(1).mapInArrow(tidied(_solve), LABELS), "labels")  # TASK_EDGES edges at most
     if not moves:

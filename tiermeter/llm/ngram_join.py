@@ -5,9 +5,12 @@
    whole band meet in a bucket. A bucket gives one edge from its lowest text to
    each other one, never its pairs.
 3. Connected components of these edges bring together all texts that may be
-   alike. A component is dealt to blocks of bounded size, and each pair of blocks
-   is verified by itself: all pairs in it, on full n-gram sets, by products of
-   sparse columns. A task returns a row for each text, not for each pair.
+   alike. A component is verified as a whole, or bucket by bucket where its
+   buckets hold fewer pairs than it does, so that a long chain of chance meetings
+   costs what its buckets cost. Either is dealt to blocks of bounded size, and
+   each pair of blocks is verified by itself: all pairs in it, on full n-gram
+   sets, by products of sparse columns. A pair that meets in several buckets
+   counts in its first. A task returns a row for each text, not for each pair.
 4. The verified links give the classes, again as connected components.
 """
 
@@ -18,11 +21,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiermeter.llm.common import arrow_map, arrow_schema, tidied, with_bytes, written
-from tiermeter.llm.graph import components
+from tiermeter.llm.graph import components, hot_join
 from tiermeter.llm.kernels import Batch, mix, windows
 
 SIZE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
@@ -34,13 +37,16 @@ _CHUNK = 4096
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """The longest bands that still find a pair at the threshold with the target recall."""
+    """The longest bands that still find a pair at the threshold with the target recall.
+
+    ``most`` hashes are enough unless even bands of one row need more; then these are used.
+    """
     for rows in range(most, 0, -1):
         hit = threshold**rows
         bands = int(np.ceil(np.log(1 - recall) / np.log1p(-hit))) if hit < 1 else 1
-        if bands * rows <= most:
+        if bands * rows <= most or rows == 1:
             return bands, rows
-    return most, 1
+    raise AssertionError("a single row always does")
 
 
 def gram_batch(texts: list[bytes], size: int) -> tuple[Batch, np.ndarray, np.ndarray]:
@@ -130,37 +136,48 @@ def _roots(link: np.ndarray) -> np.ndarray:
         label = lower
 
 
-VERIFIED = "key binary, links long, u long, v long"
+VERIFIED = "node long, links long, u long, v long"
+Row = tuple[int, int, int, bytes, bytes]  # node, copies, side, n-grams, bands
+
+
+def _met_before(left: list[Row], right: list[Row], band: int) -> np.ndarray:
+    """Which pairs agree in a band below ``band``."""
+    a, b = (np.stack([np.frombuffer(r[4], dtype=np.int64)[:band] for r in side]) if side else np.zeros((0, band), dtype=np.int64) for side in (left, right))
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for k in range(band):
+        out |= a[:, k, None] == b[None, :, k]
+    return out
 
 
 def _verify(threshold: float):
     target = arrow_schema(VERIFIED)
 
-    def group(rows: list[tuple]) -> tuple[list, ...]:
-        """rows: (key, rep, copies, side, n-grams) of one pair of blocks."""
-        rows.sort(key=lambda r: (r[1], r[0]))
-        sides = [[r for r in rows if r[3] == s] for s in (0, 1)]
-        sets = [[np.frombuffer(r[4], dtype=np.uint64) for r in side] for side in sides]
-        if not sides[1]:
-            link = linked(sets[0], None, threshold)
-            copies = np.array([r[2] for r in sides[0]])
-            counts = link @ copies
-            root = _roots(link)
-            return [r[0] for r in sides[0]], counts.tolist(), [r[1] for r in sides[0]], [sides[0][k][1] for k in root]
+    def group(rows: list[Row], band: int) -> tuple[list, ...]:
+        """One pair of blocks, of a bucket of ``band`` or (-1) of a component."""
+        rows.sort(key=lambda r: r[0])
+        sides = [[r for r in rows if r[2] == s] for s in (0, 1)]
+        sets = [[np.frombuffer(r[3], dtype=np.uint64) for r in side] for side in sides]
         if not sides[0]:
             return [], [], [], []
-        link = linked(*sets, threshold)
+        one = not sides[1]
+        link = linked(sets[0], None if one else sets[1], threshold)
+        if band > 0:
+            link &= ~_met_before(sides[0], sides[0] if one else sides[1], band)
         n = len(sides[0])
-        counts = np.concatenate((link @ np.array([r[2] for r in sides[1]]), link.T @ np.array([r[2] for r in sides[0]])))
-        square = np.zeros((len(rows), len(rows)), dtype=bool)
-        square[:n, n:], square[n:, :n] = link, link.T
-        all_rows = sides[0] + sides[1]
-        root = _roots(square)
-        return [r[0] for r in all_rows], counts.tolist(), [r[1] for r in all_rows], [all_rows[k][1] for k in root]
+        copies = [np.array([r[1] for r in side]) for side in sides]
+        if one:
+            counts, square, members = link @ copies[0], link, sides[0]
+        else:
+            counts = np.concatenate((link @ copies[1], link.T @ copies[0]))
+            square = np.zeros((len(rows), len(rows)), dtype=bool)
+            square[:n, n:], square[n:, :n] = link, link.T
+            members = sides[0] + sides[1]
+        root, hit = _roots(square), np.flatnonzero(counts)
+        return [members[k][0] for k in hit], counts[hit].tolist(), [members[k][0] for k in hit], [members[root[k]][0] for k in hit]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
-        rows: list[tuple] = []
+        rows: list[Row] = []
         now = None
 
         def flush() -> pa.RecordBatch:
@@ -169,20 +186,22 @@ def _verify(threshold: float):
                 c.clear()
             return batch
 
+        def close() -> None:
+            if rows:
+                for column, values in zip(out, group(rows, now[1]), strict=True):
+                    column.extend(values)
+                rows.clear()
+
         for batch in batches:
             c = batch.to_pydict()
-            for at, row in zip(zip(c["component"], c["low"], c["high"], strict=True), zip(c["key"], c["rep"], c["copies"], c["side"], c["grams"], strict=True), strict=True):
-                if at != now and rows:
-                    for column, values in zip(out, group(rows), strict=True):
-                        column.extend(values)
-                    rows = []
+            for at, row in zip(zip(c["unit"], c["band"], c["low"], c["high"], strict=True), zip(c["node"], c["copies"], c["side"], c["grams"], c["bands"], strict=True), strict=True):
+                if at != now:
+                    close()
                     if len(out[0]) > 20_000:
                         yield flush()
                 now = at
                 rows.append(row)
-        if rows:
-            for column, values in zip(out, group(rows), strict=True):
-                column.extend(values)
+        close()
         yield flush()
 
     return run
@@ -197,38 +216,59 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``doc_id``, ``class_id``, ``n_links`` and ``copy_of`` for every row.
-
-    Two rows are linked if the Jaccard similarity of their sets of n-grams of
-    ``size`` words is ``threshold`` or more; ``class_id`` is the lowest id that
-    can be reached by links, ``n_links`` the number of other rows linked to this
-    one, ``copy_of`` the lowest id with the same words. Rows that share a
-    ``doc_id`` are in one class.
-
-    A null or empty text, or one of white space, is linked to nothing and is its
-    own class. A null ``doc_id`` has a null class and no links.
-    """
-    bands, rows = bands_and_rows(threshold, recall)
-    source = with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id``, ``key`` (of the words, null without any), ``raw`` (of the text) and ``bands`` of every row; written."""
 
     def sign(c: dict[str, list]) -> dict[str, object]:
         b, grams, doc = gram_batch(c["text"], size)
         hashes = band_hashes(grams, doc, b.n, bands, rows).view(np.int64)
-        return {"doc_id": c["doc_id"], "key": _keys(b), "bands": list(hashes)}
+        return {"doc_id": c["doc_id"], "raw": c["raw"], "key": _keys(b), "bands": [h.tobytes() for h in hashes]}
+
+    source = with_bytes(docs.withColumn("raw", _raw()), "doc_id", "raw").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return written(arrow_map(source, sign, "doc_id long, raw long, key binary, bands binary"), "signatures")
 
-    signed = written(arrow_map(source, sign, "doc_id long, key binary, bands array<long>"), "signatures")
+
+def _raw() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _units(candidates: DataFrame, members: DataFrame) -> DataFrame:
+    """(``unit``, ``band``, ``node``): what is verified together; ``band`` is -1 for a whole component.
+
+    A component is split to its buckets where these hold fewer pairs than it,
+    unless it fits a block. ``members`` has the texts of each bucket (``bucket``, ``band``, ``node``, ``n``).
+    """
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("texts"))
+    in_buckets = members.join(candidates.select("node", "component"), "node")
+    pairs = in_buckets.groupBy("component").agg(F.sum("n").alias("pairs"))  # over the texts of a bucket: its square
+    whole = sizes.join(pairs, "component").select("component", (F.col("texts") * F.col("texts") <= F.greatest("pairs", F.lit(BLOCK_TEXTS**2))).alias("whole"))
+    split = written(whole.where("not whole").select("component"), "split")
+    if split.isEmpty():
+        return candidates.select(F.col("component").alias("unit"), F.lit(-1).alias("band"), "node")
+    as_one = candidates.join(split, "component", "left_anti").select(F.col("component").alias("unit"), F.lit(-1).alias("band"), "node")
+    return as_one.union(in_buckets.join(split, "component").select(F.col("bucket").alias("unit"), "band", "node"))
+
+
+def _classes(docs: DataFrame, size: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and for each distinct text ``key``, ``rep`` (its lowest id), ``raw`` (of a row of that id), ``copies``, ``links``, ``class_id`` and ``first`` (of its class)."""
+    bands, rows = bands_and_rows(threshold, recall)
+    signed = _signatures(docs, size, bands, rows)
     known = signed.where("doc_id is not null and key is not null")
-    texts = written(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
+    texts = known.groupBy("key").agg(F.min(F.struct("doc_id", "raw")).alias("f"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # The number is stored with the table, so it stays the same for whoever reads it.
+    texts = written(texts.select(F.monotonically_increasing_id().alias("node"), "key", F.col("f.doc_id").alias("rep"), F.col("f.raw").alias("raw"), "copies", "bands"), "texts")
 
-    in_buckets = texts.select("rep", F.explode("bands").alias("bucket"))
-    buckets = in_buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("bucket", "low")
-    near = components(in_buckets.join(buckets, "bucket").select(F.col("low").alias("u"), F.col("rep").alias("v")))
-    candidates = written(texts.drop("bands").join(near.select(F.col("node").alias("rep"), F.col("root").alias("component")), "rep"), "candidates")
+    listed = arrow_map(texts.select("node", F.col("bands").alias("text")), lambda c: {"node": c["node"], "buckets": [np.frombuffer(b, dtype=np.int64) for b in c["text"]]}, "node long, buckets array<long>")
+    in_buckets = listed.select("node", F.posexplode("buckets").alias("band", "bucket"))
+    buckets = written(in_buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = written(hot_join(in_buckets, buckets, "bucket", "n", texts.count() * bands, "inner"), "members")
+    near = components(members.select(F.col("low").alias("u"), F.col("node").alias("v")))
+    candidates = written(texts.select("node", "key", "rep", "copies").join(near.select("node", F.col("root").alias("component")), "node"), "candidates")
 
     bitmap = id_filter(candidates.select(F.col("rep").alias("id")))
     session = docs.sparkSession.sparkContext.broadcast(bitmap)  # FILTER_BITS / 8 bytes
-    placed = source.where("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    source = with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    placed = source.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
 
     def gather(c: dict[str, list]) -> dict[str, object]:
         place = np.array(c["place"], dtype=np.int64)
@@ -239,29 +279,56 @@ def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, rec
         return {"rep": [c["doc_id"][k] for k in hit], "key": _keys(b), "n_grams": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]}
 
     sets = arrow_map(placed, gather, "rep long, key binary, n_grams long, grams binary").where("key is not null")
-    sets = written(sets.join(candidates, ["rep", "key"]).dropDuplicates(["rep", "key"]), "gram-sets")
-    blocks = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sets = written(sets.join(candidates.select("rep", "key", "node", "copies"), ["rep", "key"]).dropDuplicates(["node"]).drop("rep", "key"), "gram-sets")
+    parts = _units(candidates, members).join(sets, "node").join(texts.select("node", "bands"), "node")
+    blocks = parts.groupBy("unit", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = parts.join(blocks, ["unit", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "rep", "copies", (F.col("block") > F.col("other")).cast("int").alias("side"), "grams")
-    keyed = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+    dealt = dealt.select("unit", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", (F.col("block") > F.col("other")).cast("int").alias("side"), "grams", "bands")
+    keyed = dealt.repartition("unit", "band", "low", "high").sortWithinPartitions("unit", "band", "low", "high")
     verified = written(keyed.mapInArrow(tidied(_verify(threshold)), VERIFIED), "verified")
 
-    classes = components(verified.select("u", "v")).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
-    links = verified.groupBy("key").agg(F.sum("links").alias("links"))
-    of_text = texts.select("key", "rep", "copies").join(links, "key", "left").join(classes, "rep", "left")
-    of_text = of_text.select("key", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_text, "key", "left")
+    roots = components(verified.select("u", "v")).select("node", "root")
+    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
+    linked_texts = texts.select("node", "key", "rep").join(roots, "node")
+    lowest = linked_texts.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("l"))
+    of_class = linked_texts.join(lowest, "root").join(links, "node", "left").select("node", "links", F.col("l.rep").alias("class_id"), (F.col("l.key") == F.col("key")).alias("first"))
+    of_text = texts.select("node", "key", "rep", "raw", "copies").join(of_class, "node", "left")
+    of_text = of_text.select("key", "rep", "raw", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return signed, written(of_text, "classes")
+
+
+def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``doc_id``, ``class_id``, ``n_links`` and ``copy_of`` for every row.
+
+    Two rows are linked if the Jaccard similarity of their sets of n-grams of
+    ``size`` words is ``threshold`` or more; ``class_id`` is the lowest id that
+    can be reached by links, ``n_links`` the number of other rows linked to this
+    one, ``copy_of`` the lowest id with the same words. Rows that share an id
+    are linked by their texts alone, so unlike texts of one id may have
+    different classes.
+
+    A null or empty text, or one of white space, is linked to nothing and is its
+    own class. A null ``doc_id`` has a null class and no links.
+    """
+    signed, of_text = _classes(docs, size, threshold, recall)
+    found = of_text.select("key", F.col("rep").alias("copy_of"), "class_id", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+    rows = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    joined = hot_join(rows, found, "key", "copies", signed.count(), "left")
     return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that have their class's lowest id; all columns of ``docs``.
+def one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class; all columns of ``docs``.
 
-    Of rows that repeat an id one stays. Rows with a null id stay.
+    It is a row of the class's lowest id; where that id has several texts of the
+    class, one of the text whose key is lowest. Rows without words or with a
+    null id all stay, as nothing is linked to them.
     """
-    found = similar(docs, **options)
-    kept = written(found.where("doc_id = class_id").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
+    _, of_text = _classes(docs, size, threshold, recall)
+    kept = written(of_text.where("first").select(F.col("rep").alias("__kept_id"), F.col("raw").alias("__kept_raw")), "kept")
     cast = F.col("doc_id").cast("long")
-    chosen = docs.join(kept, cast == F.col("__kept_id")).dropDuplicates(["__kept_id"]).drop("__kept_id")
-    return chosen.unionByName(docs.where(cast.isNull()))
+    odd = cast.isNull() | ~F.coalesce(F.col("text").cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = docs.where(~odd).withColumn("__raw", _raw())
+    chosen = rows.join(kept, (cast == F.col("__kept_id")) & (F.col("__raw") == F.col("__kept_raw"))).dropDuplicates(["__kept_id", "__kept_raw"]).drop("__kept_id", "__kept_raw", "__raw")
+    return chosen.unionByName(docs.where(odd))
