@@ -20,7 +20,7 @@ LABELS = "node long, root long"
 HOT_KEYS = 4096
 
 
-def hot_join(rows: DataFrame, one: DataFrame, key: str, count: str, total: int, how: str) -> DataFrame:
+def hot_join(rows: DataFrame, one: DataFrame, key: str | list[str], count: str, total: int, how: str) -> DataFrame:
     """``rows`` joined (``inner`` or ``left``) by ``key`` with ``one``, a written table that has a row for each key.
 
     ``count`` is how many of the ``total`` rows have the key. Keys with more than
@@ -30,7 +30,7 @@ def hot_join(rows: DataFrame, one: DataFrame, key: str, count: str, total: int,
     hot = F.col(count) > max(total // HOT_KEYS, 1)
     few = F.broadcast(one.where(hot))
     many = rows.join(few, key, "inner")
-    rest = rows.join(few.select(key), key, "left_anti").join(one.where(~hot), key, how)
+    rest = rows.join(few.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(one.where(~hot), key, how)
     return many.union(rest)
 
 

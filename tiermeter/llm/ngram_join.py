@@ -263,7 +263,7 @@ def _classes(docs: DataFrame, size: int, threshold: float, recall: float) -> tup
     buckets = written(in_buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = written(hot_join(in_buckets, buckets, "bucket", "n", texts.count() * bands, "inner"), "members")
     near = components(members.select(F.col("low").alias("u"), F.col("node").alias("v")))
-    candidates = written(texts.select("node", "key", "rep", "copies").join(near.select("node", F.col("root").alias("component")), "node"), "candidates")
+    candidates = written(texts.drop("raw").join(near.select("node", F.col("root").alias("component")), "node"), "candidates")
 
     bitmap = id_filter(candidates.select(F.col("rep").alias("id")))
     session = docs.sparkSession.sparkContext.broadcast(bitmap)  # FILTER_BITS / 8 bytes
@@ -279,13 +279,14 @@ def _classes(docs: DataFrame, size: int, threshold: float, recall: float) -> tup
         return {"rep": [c["doc_id"][k] for k in hit], "key": _keys(b), "n_grams": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]}
 
     sets = arrow_map(placed, gather, "rep long, key binary, n_grams long, grams binary").where("key is not null")
-    sets = written(sets.join(candidates.select("rep", "key", "node", "copies"), ["rep", "key"]).dropDuplicates(["node"]).drop("rep", "key"), "gram-sets")
-    parts = _units(candidates, members).join(sets, "node").join(texts.select("node", "bands"), "node")
-    blocks = parts.groupBy("unit", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    dealt = parts.join(blocks, ["unit", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = written(sets.join(candidates.select("rep", "key", "node", "copies", "bands"), ["rep", "key"]).dropDuplicates(["node"]).drop("rep", "key"), "gram-sets")
+    # Units are dealt without the n-grams, which join them for the one shuffle to their blocks.
+    parts = written(_units(candidates, members).join(sets.select("node", "n_grams"), "node"), "units")
+    blocks = parts.groupBy("unit", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("texts"))
+    dealt = hot_join(parts, written(blocks, "blocks"), ["unit", "band"], "texts", parts.count(), "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("unit", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", (F.col("block") > F.col("other")).cast("int").alias("side"), "grams", "bands")
-    keyed = dealt.repartition("unit", "band", "low", "high").sortWithinPartitions("unit", "band", "low", "high")
+    dealt = dealt.select("unit", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", (F.col("block") > F.col("other")).cast("int").alias("side"))
+    keyed = dealt.join(sets.select("node", "copies", "grams", "bands"), "node").repartition("unit", "band", "low", "high").sortWithinPartitions("unit", "band", "low", "high")
     verified = written(keyed.mapInArrow(tidied(_verify(threshold)), VERIFIED), "verified")
 
     roots = components(verified.select("u", "v")).select("node", "root")
