@@ -10,7 +10,7 @@ from tiermeter.plans.scalar_queries import said, sim_tasks
 def test_contains_compares_every_reply(spark):
     same = text.comparator("contains")
     want = sorted((r.conv_id, r.turn, same(r.reply, "the")) for r in said(spark, SF).collect())
-    assert sorted(map(tuple, all_queries()["contains_all"](spark, SF).collect())) == want
+    assert sorted(map(tuple, all_queries()["contains_cmp"](spark, SF).collect())) == want
 
 
 def test_simulated_prompts_are_whole(spark):

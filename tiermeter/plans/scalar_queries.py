@@ -40,9 +40,12 @@ def sha_draw(spark, d):
     return table(spark, d, "orders").select("o_orderkey", u.alias("u"), (u < 0.25).alias("drawn"))
 
 
-@query(f"WITH {REPLIES_SQL} SELECT conv_id, turn, CAST(((conv_id * 13 + turn * 29) % 101)::DOUBLE / 100 AS DOUBLE) AS confidence FROM replies")
+@query(f"""WITH {REPLIES_SQL} SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 0.5e0 WHEN 3 THEN NULL ELSE CAST(((conv_id * 13 + turn * 29) % 101)::DOUBLE / 100 AS DOUBLE) END AS confidence FROM replies""")
 def verbal_parse(spark, d):
-    return said(spark, d).select("conv_id", "turn", exprs.verbal_confidence(F.col("reply")).alias("confidence"))
+    """As written, with a remark, on a later line with a dash, and with words that leave it open."""
+    t = F.col("turn") % 4
+    reply = F.concat("reply", F.when(t == 1, " (fairly sure).").when(t == 2, "\n**My confidence** — 5 out of 10").when(t == 3, " or so, maybe").otherwise(""))
+    return said(spark, d).select("conv_id", "turn", exprs.verbal_confidence(reply).alias("confidence"))
 
 
 @query("SELECT item_id, (item_id * 37 % 1000)::DOUBLE / 1000 AS p FROM benchmark")
@@ -166,16 +169,10 @@ def json_field(spark, d):
     return table(spark, d, "events").select("event_id", text.extract(F.col("props"), "json_field", field="k").alias("k"))
 
 
-@query(f"WITH {REPLIES_SQL} SELECT conv_id, turn, contains(lower(' ' || reply || ' '), ' the ') AS hit FROM replies WHERE regexp_matches(reply, '^[A-Za-z ,.\\n:%0-9]*$')")
+@query(f"""WITH {REPLIES_SQL}, evened AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(reply), '[''’ʼ`´]', '', 'g'), '(\p{{L}})\.(\p{{L}})', '\1\2', 'g'), '\p{{P}}', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM replies)
+SELECT conv_id, turn, contains(' ' || regexp_replace(words, '^(a|an|the) ', '') || ' ', ' the ') AS hit FROM evened""")
 def contains_cmp(spark, d):
-    """Replies that need no normalising, as SQL can compare them; ``contains_all`` takes them all."""
-    plain = said(spark, d).where(F.col("reply").rlike(r"^[A-Za-z ,.\n:%0-9]*$"))
-    return plain.select("conv_id", "turn", F.contains(F.lower(F.concat(F.lit(" "), "reply", F.lit(" "))), F.lit(" the ")).alias("hit"))
-
-
-@query()
-def contains_all(spark, d):
-    """Every reply by the comparator, which normalises; SQL can't follow it."""
+    """Every reply by the comparator, which evens out case, punctuation and the leading article."""
     return said(spark, d).select("conv_id", "turn", text.compare(F.col("reply"), F.lit("the"), "contains").alias("hit"))
 
 
@@ -195,7 +192,7 @@ def verdict_parse(spark, d):
 @query(f"""WITH {REPLIES_SQL}, l AS (SELECT conv_id, unnest(string_split(reply, chr(10))) AS line FROM replies) SELECT count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '^CONFIDENCE: ')) AS confidence_lines FROM l""")
 def conf_line_filter(spark, d):
     lines = said(spark, d).select(F.explode(F.split("reply", "\n")).alias("line"))
-    return lines.agg(F.count("*").alias("lines"), F.count_if(exprs.is_confidence_line(F.col("line"))).alias("confidence_lines"))
+    return lines.agg(F.count("*").alias("lines"), F.count_if(text.states_confidence(F.col("line"))).alias("confidence_lines"))
 
 
 @query("""SELECT o_orderkey, ((o_orderkey % 50 + 3) * (o_orderkey % 7 + 2) - o_orderkey % 11)::DOUBLE AS result FROM orders""")
@@ -215,23 +212,35 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", exprs.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+@query(f"WITH {REPLIES_SQL} SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN '' ELSE substr('ABCD', CAST(turn % 4 + 1 AS INTEGER), 1) END AS letter FROM replies")
 def choice_extract(spark, d):
+    """One letter in seven spellings; the last has none."""
     letter = F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), (F.col("turn") % 4 + 1).cast("int"))
-    reply = F.concat(F.lit("I considered each.\nThe answer is ("), letter, F.lit(")."))
+    said_so = ["I considered each.\nThe answer is ({}).", "A man saw it. The answer would be {}.", "**Answer: {}**\nConfidence: 0.8", "so it is \\boxed{{\\text{{{}}}}}", "Why\n({})", "(A) 1\n(B) 2\n(C) 3\n(D) 4\nANSWER: {}.", "A man walks into a bar"]
+    reply = F.lit("")
+    for k, form in enumerate(said_so):
+        before, _, after = form.replace("{{", "\x00").replace("}}", "\x01").partition("{}")
+        parts = [F.lit(x.replace("\x00", "{").replace("\x01", "}")) for x in (before, after)]
+        reply = F.when(F.col("turn") % len(said_so) == k, F.concat(parts[0], letter, parts[1]) if "{}" in form.replace("{{", "").replace("}}", "") else parts[0]).otherwise(reply)
     return said(spark, d).select("conv_id", "turn", text.extract(reply, "choice").alias("letter"))
 
 
-@query()
+@query(r"""WITH evened AS (SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[''’ʼ`´]', '', 'g'), '(\p{L})\.(\p{L})', '\1\2', 'g'), '(\d),(\d\d\d)', '\1\2', 'g'), '\p{P}', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM benchmark)
+SELECT item_id, regexp_replace(words, '^(a|an|the) ', '') AS normalized FROM evened""")
 def normalize_texts(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.normalize(F.col("text")).alias("normalized"))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, l_linenumber % 3 <> 2 AS equal FROM lineitem")
 def numeric_cmp(spark, d):
-    n = F.col("l_quantity").cast("long").cast("string")
-    line = table(spark, d, "lineitem")
-    return line.select("l_orderkey", "l_linenumber", text.compare(F.concat(F.lit("$"), n, F.lit(".00")), F.concat(n, F.lit(" dollars")), "numeric").alias("equal"))
+    """One number in two spellings; every third line's differ by one."""
+    n = F.col("l_quantity").cast("long")
+    off = (n + F.when(F.col("l_linenumber") % 3 == 2, 1).otherwise(0)).cast("string")
+    n = n.cast("string")
+    kind = F.col("l_linenumber") % 4
+    left = F.when(kind == 0, F.concat(F.lit("$"), n, F.lit(".00"))).when(kind == 1, F.concat(n, F.lit(" apples"))).when(kind == 2, F.concat(F.lit("x = "), n)).otherwise(F.concat(n, F.lit("%")))
+    right = F.when(kind == 0, F.concat(off, F.lit(" dollars"))).when(kind == 1, F.concat(off, F.lit(" apple."))).when(kind == 2, F.concat(off, F.lit("e0"))).otherwise(F.concat(off, F.lit("/100")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.compare(left, right, "numeric").alias("equal"))
 
 
 # --- tasks ---------------------------------------------------------------------------------
@@ -347,7 +356,7 @@ def failure_streak(spark, d):
     return streak(e)
 
 
-@query("""WITH r AS (SELECT item_id AS request_id, 'Please answer: ' || text || ' Thanks.' AS request FROM benchmark), t AS (SELECT item_id AS task_id, text AS prompt FROM benchmark WHERE length(text) >= 24),
+@query("""WITH r AS (SELECT item_id AS request_id, 'Please answer: ' || text || ' Thanks.' AS request FROM benchmark), t AS (SELECT item_id AS task_id, text AS prompt FROM benchmark),
 m AS (SELECT request_id, task_id, row_number() OVER (PARTITION BY request_id ORDER BY length(prompt) DESC, task_id DESC) AS n FROM r JOIN t ON contains(request, prompt)) SELECT request_id, task_id FROM m WHERE n = 1""")
 def prefix_match_topk(spark, d):
     """The task whose prompt is the longest that a request contains."""
