@@ -1,6 +1,8 @@
 import hashlib
 import math
 
+from pyspark.sql import functions as F
+
 from tiermeter.llm import mixing
 
 
@@ -12,7 +14,8 @@ def plain(rows, weights=None, epochs=1.0):
     total, mass = sum(size.values()), sum(w.values())
     out = []
     for d, _, s in rows:
-        rate = min(w[s] / mass * epochs * total / size[s], mixing.MAX_RATE) if size[s] and mass else epochs
+        rate = w[s] / mass * epochs * total / size[s] if size[s] and mass else epochs
+        assert rate <= mixing.MAX_RATE  # one draw
         u = int(hashlib.sha256(f"{mixing.SEED}|{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
         p = c = math.exp(-rate)
         n = 0
@@ -71,6 +74,24 @@ def test_many_sources_are_joined_by_shuffling(spark, monkeypatch):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.replica) for r in got) == plain(ROWS)
 
 
+def test_a_single_huge_source(spark):
+    rows = [(k, "x" * 30, "one") for k in range(3000)]
+    got = mixing.replicate(frame(spark, rows), epochs=2.0).collect()
+    assert sorted((r.doc_id, r.replica) for r in got) == plain(rows, None, 2.0)
+
+
+def test_oracle_has_no_cap(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    pd.DataFrame({"doc_id": [0, 1, 2], "text": ["t", "z" * 1_000_000, "z" * 1_000_000], "lang": "en", "source": ["tiny", "big", "big"], "n_chars": [1, 1, 1]}).to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d.parquet')")
+    want = sorted(con.execute(f"SELECT source, count(*), max(rate) FROM ({mixing.ORACLE}) GROUP BY source").fetchall())
+    got = sorted((r.source, r.n, r.rate) for r in mixing.replicate(spark.read.parquet(f"{tmp_path}/d.parquet")).groupBy("source").agg(F.count("*").alias("n"), F.max("rate").alias("rate")).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and got[-1][2] > mixing.MAX_RATE
+
+
 def test_order_and_plan(spark):
     out = mixing.replicate(frame(spark, ROWS))
     again = mixing.replicate(frame(spark, ROWS))

@@ -129,9 +129,11 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names; a temporary one only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tiermeter-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

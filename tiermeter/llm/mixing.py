@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiermeter.llm.common import written
+from tiermeter.llm.graph import hot_join
+
 #: Target shares are proportional to a source's bytes to this power, unless weights are given.
 FLATTEN = 0.5
-#: Sources up to this many are broadcast, with their distributions; more are joined by shuffling.
+#: Sources up to this many are broadcast, with their distributions; of more only those with many rows.
 BROADCAST_SOURCES = 10_000
-SALTS = 64
 SEED = 7
 #: The highest rate of one draw; a higher rate is a sum of independent draws.
 MAX_RATE = 500.0
@@ -27,7 +29,7 @@ def uniform(key: Column, salt: str | Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """``source``, its ``rate``, its number of ``draws`` and the Poisson distribution function of one up to where it is 1.
+    """``source``, its ``rows`` and ``rate``, its number of ``draws`` and the Poisson distribution function of one up to where it is 1.
 
     A source's rate makes its expected bytes its share of ``epochs`` times all
     bytes. A null source is a source of its own. Sources without bytes keep
@@ -35,7 +37,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     draws, as the function of a higher one would start from 0. Sources missing from ``weights`` have weight 0.
     """
     n = F.sum(F.octet_length("text").cast("long"))
-    sizes = docs.groupBy("source").agg(F.coalesce(n, F.lit(0).cast("long")).alias("bytes"))
+    # A row for each source; written, so that the documents are read once for it.
+    sizes = written(docs.groupBy("source").agg(F.coalesce(n, F.lit(0).cast("long")).alias("bytes"), F.count("*").alias("rows")), "sources")
     if weights is None:
         weight = F.pow(F.col("bytes").cast("double"), F.lit(FLATTEN))
     else:
@@ -46,7 +49,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     # decimals add up to the same in any order
     total = sizes.agg(F.sum("bytes").alias("all_bytes"), F.sum(F.col("weight").cast("decimal(30,6)")).cast("double").alias("all_weight"))
     rate = F.when((F.col("bytes") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * F.lit(epochs) * F.col("all_bytes") / F.col("bytes")).otherwise(F.lit(float(epochs)))
-    found = sizes.crossJoin(F.broadcast(total)).select("source", rate.alias("rate"))  # total has one row
+    found = sizes.crossJoin(F.broadcast(total)).select("source", "rows", rate.alias("rate"))  # total has one row
     found = found.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int")))
     one = F.col("rate") / F.col("draws")
     steps = F.sequence(F.lit(1), F.ceil(one + 12 * F.sqrt(one) + 20).cast("int"))
@@ -73,24 +76,22 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     An empty table gives no rows; null texts have no bytes.
     """
     docs = docs.drop("replica", "rate", "shuffle_key")
-    found = rates(docs, weights, epochs).withColumnsRenamed({"source": "__source", "draws": "__draws", "cdf": "__cdf"})
-    # The number of sources is counted; only a checked number is broadcast.
-    few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    found = rates(docs, weights, epochs).withColumnsRenamed({"source": "__source", "rows": "__rows", "draws": "__draws", "cdf": "__cdf"})
+    n_sources, n_rows = found.agg(F.count("*"), F.coalesce(F.sum("__rows"), F.lit(0))).first()
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    if few:
-        joined = docs.join(F.broadcast(found), same)
-    else:  # a hot source is spread over SALTS tasks
-        spread = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = docs.withColumn("__own_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        joined = salted.join(spread, same & (F.col("__own_salt") == F.col("__salt"))).drop("__salt", "__own_salt")
+    if n_sources <= BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(found), F.col("source").eqNullSafe(F.col("__source")))
+    else:  # a hot source is broadcast all the same
+        name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null")).alias("__name")
+        one = written(found.select("*", name("__source")), "rates")
+        joined = hot_join(docs.select("*", name("source")), one, "__name", "__rows", n_rows, "inner").drop("__name")
     own_seed = lambda k: F.when(k == 0, F.lit(str(seed))).otherwise(F.concat(F.lit(f"{seed}."), k.cast("string")))
     drawn = F.transform(F.sequence(F.lit(0), F.col("__draws") - 1), lambda k: uniform(key, own_seed(k)))
     count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
     # In blocks, so that no array grows with a document's copies.
     blocks = joined.withColumn("__n", count).where("__n > 0").withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / BLOCK).cast("int"))))
     copies = blocks.withColumn("replica", F.explode(F.sequence(F.col("__block") * BLOCK, F.least(F.col("__n"), (F.col("__block") + 1) * BLOCK) - 1)))
-    copies = copies.drop("__source", "__draws", "__cdf", "__n", "__block").withColumn("shuffle_key", uniform(F.concat(key, F.lit("|"), F.col("replica").cast("string")), f"order{seed}"))
+    copies = copies.drop("__source", "__rows", "__draws", "__cdf", "__n", "__block").withColumn("shuffle_key", uniform(F.concat(key, F.lit("|"), F.col("replica").cast("string")), f"order{seed}"))
     if not shuffle:
         return copies
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
@@ -104,21 +105,27 @@ WITH RECURSIVE sizes AS (
 ), total AS (
   SELECT sum(bytes)::DOUBLE AS all_bytes, CAST(sum(CAST(weight AS DECIMAL(30,6))) AS DOUBLE) AS all_weight FROM weighted
 ), rated AS (
-  SELECT source, least(CASE WHEN bytes > 0 AND all_weight > 0 THEN weight / all_weight * 1.0::DOUBLE * all_bytes / bytes ELSE 1.0::DOUBLE END, {MAX_RATE}::DOUBLE) AS rate
+  SELECT source, CASE WHEN bytes > 0 AND all_weight > 0 THEN weight / all_weight * 1.0::DOUBLE * all_bytes / bytes ELSE 1.0::DOUBLE END AS rate
   FROM weighted, total
+), dealt AS (
+  SELECT source, rate, greatest(1, CAST(ceil(rate / {MAX_RATE}::DOUBLE) AS INTEGER)) AS draws FROM rated
+), one AS (
+  SELECT *, rate / draws AS one FROM dealt
 ), cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rated
+  SELECT source, one, 0 AS k, exp(-one) AS p, exp(-one) AS c FROM one
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf
-  WHERE k + 1 <= CAST(ceil(rate + 12 * sqrt(rate) + 20) AS INTEGER)
+  SELECT source, one, k + 1, p * one / (k + 1), c + p * one / (k + 1) FROM cdf
+  WHERE k + 1 <= CAST(ceil(one + 12 * sqrt(one) + 20) AS INTEGER)
+), numbered AS (
+  SELECT *, row_number() OVER () AS n FROM documents
 ), drawn AS (
-  SELECT d.*, CAST(('0x' || substr(sha256('{SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM documents d
+  SELECT d.n, d.doc_id, d.source, unnest(generate_series(0, o.draws - 1)) AS j FROM numbered d JOIN one o ON o.source IS NOT DISTINCT FROM d.source
+), uniform AS (
+  SELECT n, source, CAST(('0x' || substr(sha256('{SEED}' || CASE WHEN j = 0 THEN '' ELSE '.' || j END || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM drawn
 ), counted AS (
-  SELECT n.*, r.rate, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM n.source AND cdf.c <= n.u) AS n_copies
-  FROM drawn n JOIN rated r ON r.source IS NOT DISTINCT FROM n.source
+  SELECT n, CAST(sum((SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM uniform.source AND cdf.c <= uniform.u)) AS BIGINT) AS n_copies FROM uniform GROUP BY n
 ), copies AS (
-  SELECT *, unnest(generate_series(0, n_copies - 1)) AS replica FROM counted WHERE n_copies > 0
+  SELECT d.*, o.rate, unnest(generate_series(0, n_copies - 1)) AS replica FROM numbered d JOIN counted USING (n) JOIN one o ON o.source IS NOT DISTINCT FROM d.source WHERE n_copies > 0
 )
 SELECT doc_id, text, lang, source, n_chars, rate, CAST(replica AS INTEGER) AS replica,
   CAST(('0x' || substr(sha256('order{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(replica AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS shuffle_key
