@@ -169,7 +169,7 @@ def json_field(spark, d):
     return table(spark, d, "events").select("event_id", text.extract(F.col("props"), "json_field", field="k").alias("k"))
 
 
-@query(f"""WITH {REPLIES_SQL}, evened AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(reply), '[''’ʼ`´]', '', 'g'), '(\p{{L}})\.(\p{{L}})', '\1\2', 'g'), '\p{{P}}', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM replies)
+@query(rf"""WITH {REPLIES_SQL}, evened AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(reply), '[''’ʼ`´]', '', 'g'), '(\p{{L}})\.(\p{{L}})', '\1\2', 'g'), '\p{{P}}', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM replies)
 SELECT conv_id, turn, contains(' ' || regexp_replace(words, '^(a|an|the) ', '') || ' ', ' the ') AS hit FROM evened""")
 def contains_cmp(spark, d):
     """Every reply by the comparator, which evens out case, punctuation and the leading article."""
