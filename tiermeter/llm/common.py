@@ -143,15 +143,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     This cuts the lineage: a lost executor costs no more than the tasks that
-    follow the table. The table goes when the driver ends.
+    follow the table. The table goes when the driver ends, or by ``drop_tables``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
+    if not MADE:
+        atexit.register(drop_tables, spark)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the written tables that are still there.
+MADE: list[str] = []
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the written tables but the first ``since`` and the last ``keep``; only what is read no more may go."""
+    gone = MADE[since : len(MADE) - keep]
+    for path in gone:
+        remove(spark, path)
+        MADE.remove(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table; quiet where the session has ended already."""
     try:
