@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tiermeter.llm import mixing, ngram_join, packing, pii, quality
-from tiermeter.llm.common import documents, tune, written
+from tiermeter.llm.common import MADE, documents, drop_tables, tune, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +60,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Tables that a stage made go when its result is written."""
     docs = documents(spark, sf_dir)
+    before = len(MADE)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage{k + 1}")
+            drop_tables(spark, before, keep=1)
     return docs
