@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tiermeter.functions.exprs import attempt_cost, finite, served_attempt
 from tiermeter.functions.stats import Estimate, WeightedSums, audits_to_resolve, check_level, status_of, weighted_mean, weighted_proportion, wilson
+from tiermeter.sources.tables import kept
 
 # Fixed values.
 EDGES = (0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0)
@@ -96,7 +97,9 @@ def strata(found: DataFrame) -> DataFrame:
 
 def weighted_cases(found: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Cases with their ``stratum`` and, where audited, the weight 1 / (pi x response rate)."""
-    table = strata(found) if table is None else table
+    if table is None:
+        found = kept(found, "cases")  # flat rows; the nested decisions are read once
+        table = strata(found)
     joined = found.join(table.select("key", "stratum", "selected", "completed"), F.bround("pi", 6) == F.col("key"), "left")
     rate = F.col("completed") / F.col("selected")
     return joined.select("task_id", "score", "pi", "state", "disagree", "wrong", "ref_wrong", "stratum", F.when(F.col("state") == "audited", 1 / (F.col("pi") * rate)).alias("weight"))
@@ -240,7 +243,7 @@ def summarize(decisions: DataFrame, tolerance: float | None = None, level: float
     reference = final if mode == "eval" or head.audit_tier is None else head.audit_tier
     share = {r.final_tier: r["count"] for r in decisions.where("error is null").groupBy("final_tier").count().collect()}
 
-    found = cases(decisions, final)
+    found = kept(cases(decisions, final), "cases")
     table = strata(found)
     grouped = weighted_cases(found, table).withColumn("bin", bin_of(F.col("score"), edges))
     wrong = F.col("wrong")

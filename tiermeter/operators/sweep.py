@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tiermeter.functions.exprs import attempt_cost, finite
 from tiermeter.operators.calibrate import risk_coverage, running
+from tiermeter.sources.tables import kept
 
 # Fixed values.
 MOST_POINTS, MOST_GRID, OVER_ONE = 20_000, 101, 1.0001
@@ -105,6 +106,7 @@ def points(rows: DataFrame, grids: Sequence[Sequence[float]]) -> DataFrame:
             sums += [F.sum(walked).alias(f"{m}{j}"), F.count_if(walked.isNull()).alias(f"no_{m}{j}")]
     dims = [f"b{j}" for j in range(1, gated + 1)]
     cells = rows.withColumns({d: bucket(F.col(f"s{j}"), grids[j - 1]) for j, d in enumerate(dims, start=1)}).groupBy(*dims).agg(*sums)
+    cells = kept(cells, "cells")  # a row for each cell of the grid; all sums below start from it
     measures = [c for c in cells.columns if c not in dims]
     dense = rows.sparkSession.range(1).drop("id")
     for d, g in zip(dims, grids, strict=True):

@@ -92,15 +92,26 @@ def sweep_items(spark, d):
     return flat(spark, d).select("task_id", "s1", "ok1", "ok2", "cost1", "cost2")
 
 
-_POINTS = f"""{_ITEMS}, {GRID_SQL}, points AS (
-  SELECT t AS t1, count(*) AS n, count(*) FILTER (WHERE CASE WHEN s1 >= t THEN ok1 ELSE ok2 END) AS correct, count(*) FILTER (WHERE NOT coalesce(s1 >= t, FALSE)) AS escalated,
-    count(*) FILTER (WHERE s1 >= t AND NOT ok1) AS skipped_wrong, round(avg(CASE WHEN s1 >= t THEN c1 ELSE c1 + c2 END), 9) AS cost_per_task
-  FROM (SELECT * FROM items WHERE c1 IS NOT NULL), grid GROUP BY t)"""
+_POINTS_OF = """SELECT t AS t1, count(*) AS n, count(*) FILTER (WHERE CASE WHEN s1 >= t THEN ok1 ELSE ok2 END) AS correct, count(*) FILTER (WHERE NOT coalesce(s1 >= t, FALSE)) AS escalated,
+    count(*) FILTER (WHERE s1 >= t AND NOT ok1) AS skipped_wrong, CASE WHEN count(*) = count(CASE WHEN s1 >= t THEN c1 ELSE c1 + c2 END) THEN round(avg(CASE WHEN s1 >= t THEN c1 ELSE c1 + c2 END), 9) END AS cost_per_task
+  FROM {rows}, grid GROUP BY t"""
+#: Points have a cost only where all their items have one, so costs are compared over the items with known costs.
+_POINTS = f"{_ITEMS}, {GRID_SQL}, points AS ({_POINTS_OF.format(rows='(SELECT * FROM items WHERE c1 IS NOT NULL)')})"
 
 
-@query(f"WITH {_POINTS} SELECT * FROM points")
+@query(f"WITH {_ITEMS}, {GRID_SQL} {_POINTS_OF.format(rows='items')}")
 def sweep_points(spark, d):
-    p = sweep.points(flat(spark, d).where("cost1 is not null"), [GRID])
+    """Every item; a point with an unknown cost among its items has none."""
+    return _shown(sweep.points(flat(spark, d), [GRID]))
+
+
+@query(f"WITH {_POINTS} SELECT * FROM points")
+def sweep_points_priced(spark, d):
+    """The items with known costs."""
+    return _shown(sweep.points(flat(spark, d).where("cost1 is not null"), [GRID]))
+
+
+def _shown(p: DataFrame) -> DataFrame:
     return p.select("t1", "n", "correct", "escalated", "skipped_wrong", r9("cost_per_task").alias("cost_per_task"))
 
 
@@ -139,7 +150,7 @@ def sweep_oracle(spark, d):
 
 
 def _table(spark: SparkSession, d: str) -> DataFrame:
-    return sweep_points(spark, d).withColumn("accuracy", r9(F.col("correct") / F.col("n")))
+    return sweep_points_priced(spark, d).withColumn("accuracy", r9(F.col("correct") / F.col("n")))
 
 
 _TABLE = f"{_POINTS}, tab AS (SELECT *, round(correct::DOUBLE / n, 9) AS accuracy FROM points)"
