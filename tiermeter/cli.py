@@ -38,8 +38,9 @@ def _run(spark, a, c: config.Config, work) -> int:
     book = Ledger(spark, a.ledger or c.ledger)
     runner = Runner(book, c.tiers, a.run or c.run_id, a.mode or c.mode, c.audit, Limits(a.budget, a.failures))
     try:
-        runner.process(work)
-        runner.finish_audits()
+        with runner.interruptible():
+            runner.process(work)
+            runner.finish_audits()
     except Stopped as e:
         print(f"stopped: {e}", file=sys.stderr)
         return STOPPED

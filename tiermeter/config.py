@@ -7,12 +7,11 @@ import tomllib
 from dataclasses import dataclass
 from typing import Any
 
+from tiermeter.functions import estimators, text
 from tiermeter.operators.cascade import AuditPolicy, Tier
-from tiermeter.operators.simulate import Answerer
+from tiermeter.sources import backends
 
-_KNOWN = {"": ("ledger", "run", "tiers", "audit"), "tiers": ("name", "backend", "threshold", "options"), "audit": ("mode", "rate", "bands", "floor", "seed", "tolerance"), "run": ("id", "mode", "note")}
-#: Backends that a file may name; others are passed as Python objects.
-BACKENDS = {"simulated": lambda name, options: Answerer(name, **options)}
+_KNOWN = {"": ("ledger", "run", "tiers", "audit"), "tiers": ("name", "backend", "threshold", "options", "estimator", "extractor", "comparator"), "audit": ("mode", "rate", "bands", "floor", "seed", "tolerance"), "run": ("id", "mode", "note")}
 
 
 class ConfigError(ValueError):
@@ -46,15 +45,27 @@ def parse(raw: dict[str, Any]) -> Config:
     for i, t in enumerate(raw.get("tiers", [])):
         where = f"tiers[{i}]."
         _check("tiers", where, t)
-        if "name" not in t or t.get("backend") not in BACKENDS:
-            raise ConfigError(f"{where}backend: known are {', '.join(BACKENDS)}")
+        if "name" not in t or t.get("backend") not in backends.BACKENDS:
+            raise ConfigError(f"{where}backend: known are {', '.join(backends.BACKENDS)}")
         if any("key" in k and not k.endswith("_env") for k in t.get("options", {})):
             raise ConfigError(f"{where}options: secrets come from environment variables, by names ending in _env")
+        parts = {}
+        for part, made in (("estimator", estimators.estimator), ("extractor", text.extractor), ("comparator", text.comparator)):
+            try:
+                made(t.get(part))
+            except (ValueError, TypeError) as e:
+                raise ConfigError(f"{where}{part}: {e}") from e
+            if t.get(part) is not None:
+                parts[part] = t[part]
         last = i == len(raw["tiers"]) - 1
         threshold = t.get("threshold")
         if (threshold is None) != last or (threshold is not None and not 0 <= threshold <= 1):
             raise ConfigError(f"{where}threshold: between 0 and 1 for all tiers but the last")
-        tiers.append(Tier(t["name"], BACKENDS[t["backend"]](t["name"], t.get("options", {})), threshold))
+        try:
+            backend = backends.backend(t["backend"], t["name"], t.get("options", {}), **parts)
+        except (ValueError, TypeError) as e:
+            raise ConfigError(f"{where}options: {e}") from e
+        tiers.append(Tier(t["name"], backend, threshold))
     if not tiers or len({t.name for t in tiers}) < len(tiers):
         raise ConfigError("tiers: one at least, with different names")
     tolerance = audit.pop("tolerance", None)

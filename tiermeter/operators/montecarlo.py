@@ -7,10 +7,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermeter.functions.stats import Estimate, WeightedSums, finite_bounds_many, status_of, weighted_proportion
+from tiermeter.functions.stats import REPLICATES, Estimate, WeightedSums, finite_bounds_many, status_of, weighted_proportion
 
 
 def redraw(cases: DataFrame, seeds: int, first_seed: int = 0) -> DataFrame:
@@ -99,3 +100,35 @@ def designs(spark, strata: Sequence[tuple[int, float, int]], draws: int, level:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([s.n for _, s in full], pa.int64()), pa.array(value, pa.float64()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64()), pa.nulls(len(full), pa.string())], names=["seed", "n", "value", "lo", "hi", "status"])
 
     return spark.range(0, draws, 1, tasks).mapInArrow(run, INTERVALS)
+
+
+def bootstrap_mean(rows: DataFrame, value: str, level: float = 0.95, reps: int = REPLICATES, seed: int = 0) -> Estimate | None:
+    """Percentile bootstrap of a column's mean, nulls and NaN left out; None without values.
+
+    Each row counts Poisson(1) times in each replicate, which needs no knowledge of
+    the number of rows: every task adds up ``reps`` sums and counts, and only these
+    are shuffled. The weights follow the seed, the task and the batch.
+    """
+    schema = "sums array<double>, counts array<double>, total double, n long"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, total, n = np.zeros(reps), np.zeros(reps), 0.0, 0
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            for k in range(0, len(x), 256):
+                part = x[k : k + 256]
+                weight = rng.poisson(1.0, (reps, len(part)))
+                sums += weight @ part
+                counts += weight.sum(axis=1)
+            total, n = total + x.sum(), n + len(x)
+        yield pa.RecordBatch.from_pylist([{"sums": sums.tolist(), "counts": counts.tolist(), "total": float(total), "n": n}])
+
+    column = F.col(value).cast("double")
+    parts = rows.select(column.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).mapInArrow(run, schema)
+    at = parts.select("total", "n", F.posexplode(F.arrays_zip("sums", "counts")).alias("rep", "z")).groupBy("rep").agg(F.sum("z.sums").alias("s"), F.sum("z.counts").alias("c"), F.sum("total").alias("total"), F.sum("n").alias("n")).collect()  # ``reps`` rows
+    if not at or not at[0].n:
+        return None
+    means = [r.s / r.c for r in at if r.c]
+    lo, hi = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+    return Estimate(at[0].total / at[0].n, float(lo), float(hi), int(at[0].n), "bootstrap", level)

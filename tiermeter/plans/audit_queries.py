@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tiermeter.functions.exprs import accepts, attempt_cost, last_good_attempt, served_attempt, sum_or_null, unusable
 from tiermeter.functions.stats import audits_to_resolve, clopper_pearson, mcnemar_p, paired_difference, weighted_proportion, z_for
 from tiermeter.operators import audit
+from tiermeter.operators.montecarlo import bootstrap_mean
 from tiermeter.plans.adapters import CASES_SQL, FACTS_SQL, decisions, facts, table
 from tiermeter.plans.registry import query, r9
 
@@ -276,3 +277,10 @@ def audits_to_resolve_by_group(spark, d):
     g = facts(table(spark, d, "events")).where("accepted").groupBy("event_type").agg(F.count_if(~F.col("agree")).alias("k"), F.count("*").alias("n")).collect()
     rows = [(r.event_type, r.k, r.n, audits_to_resolve(clopper_pearson(r.k, r.n), 0.2)) for r in g]
     return spark.createDataFrame(rows, "event_type string, k long, n long, more long")
+
+
+@query()
+def bootstrap_score(spark, d):
+    """The mean score with its bootstrap interval."""
+    e = bootstrap_mean(facts(table(spark, d, "events")), "score")
+    return spark.createDataFrame([(e.value, e.lo, e.hi, e.n)], "value double, lo double, hi double, n long")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from tiermeter.schema import DECISION
 from tiermeter.sources.tables import exists
 
 SECRET = re.compile(r"(?:^|_)(?:key|token|secret|password|passwd|credential|authorization)s?(?:_|$)")
+#: Of the tables' layout. Version 1 had no ``error`` column; it reads as null.
+VERSION = 2
 RUNS = "run_id string, created_at string, mode string, config string, note string, version long"
 
 
@@ -33,6 +36,15 @@ def redacted(config):
     return [redacted(v) for v in config] if isinstance(config, (list, tuple)) else config
 
 
+def differences(a, b, at: str = "") -> list[str]:
+    """Dotted paths at which two configurations differ."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return [d for k in sorted({*a, *b}) for d in differences(a.get(k), b.get(k), f"{at}.{k}" if at else k)]
+    if isinstance(a, list) and isinstance(b, list) and len(a) == len(b):
+        return [d for k, (x, y) in enumerate(zip(a, b, strict=True)) for d in differences(x, y, f"{at}[{k}]")]
+    return [] if a == b else [at]
+
+
 def upserted(log: DataFrame, keys: list[str], version: str, position: str) -> DataFrame:
     """The last version of each key, in the place of its first."""
     w = Window.partitionBy(*keys)
@@ -45,6 +57,25 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.migrate()
+
+    def migrate(self) -> int:
+        """The version found. An older ledger is marked as of this one; a newer one is an error."""
+        where = f"{self.path}/meta"
+        if exists(self.spark, where):
+            found = self.spark.read.schema("version int").parquet(where).agg(F.max("version").alias("v")).first().v or 1
+        else:
+            found = 1 if exists(self.spark, f"{self.path}/decisions") else 0
+        if found > VERSION:
+            raise ValueError(f"{self.path} has version {found} of the ledger; this library reads up to {VERSION}")
+        if found < VERSION:
+            self.spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("append").parquet(where)
+        return found
+
+    def drift(self, run_id: str, config: dict) -> list[str]:
+        """Where a run's configuration differs from ``config``, as dotted paths."""
+        old = self._runs().where(F.col("run_id") == run_id).orderBy(F.desc("version")).first()
+        return differences(json.loads(old.config or "{}"), json.loads(json.dumps(redacted(config)))) if old else []
 
     def _log(self) -> DataFrame:
         where = f"{self.path}/decisions"
@@ -66,8 +97,8 @@ class Ledger:
         self.spark.createDataFrame(row, RUNS).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
 
     def record(self, decisions: DataFrame) -> int:
-        """Append decisions as one batch; its number."""
-        batch = (self._log().agg(F.max("batch").alias("b")).first().b or 0) + 1
+        """Append decisions as one batch; its number, which rises with time whoever writes."""
+        batch = time.time_ns()
         decisions.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/decisions")
         return batch
 
@@ -84,6 +115,11 @@ class Ledger:
         d = self.decisions(run_id)
         return (d if include_errors else d.where("error is null")).select(F.col("task.id").alias("task_id"))
 
+    def done_of(self, run_id: str, ids: DataFrame) -> DataFrame:
+        """Which of ``ids`` (``id``, one micro-batch) have a decision without error; only ids and errors of the run are read."""
+        good = self._log().where((F.col("run_id") == run_id) & F.col("error").isNull()).select(F.col("task.id").alias("id"))
+        return good.join(F.broadcast(ids.select("id")), "id", "left_semi").distinct().select(F.col("id").alias("task_id"))  # a batch of tasks
+
     def has(self, run_id: str, task_id: str) -> bool:
         return not self._log().where((F.col("run_id") == run_id) & (F.col("task.id") == task_id)).limit(1).isEmpty()
 
