@@ -54,3 +54,24 @@ def test_texts_come_back(spark):
         assert r.media_bytes > len(body)
     assert got[None].feature == got[1].feature and got[2].media_sha256 == got[3].media_sha256
     assert media.text_media(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("masks", "bits", "word"), [((0xFF, 0xFF00, 0xFF0000), 32, 10 | 20 << 8 | 30 << 16), ((0xFF0000, 0xFF00, 0xFF), 32, 10 << 16 | 20 << 8 | 30), ((0x3FF, 0x3FF << 10, 0x3FF << 20), 32, 40 | 80 << 10 | 120 << 20)])
+def test_channel_masks(masks, bits, word):
+    import struct
+
+    head = b"BM" + struct.pack("<IHHI", 14 + 40 + 12 + 8, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, bits, 3, 8, 0, 0, 0, 0) + struct.pack("<3I", *masks)
+    assert media.decode(head + struct.pack("<2I", word, word)).tolist() == [[[10, 20, 30]] * 2]
+
+
+def test_five_six_five():
+    import struct
+
+    head = b"BM" + struct.pack("<IHHI", 70, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 16, 3, 4, 0, 0, 0, 0) + struct.pack("<3I", 0xF800, 0x7E0, 0x1F)
+    assert media.decode(head + struct.pack("<2H", 0xF800, 0x7E0)).tolist() == [[[255, 0, 0], [0, 255, 0]]]
+
+
+def test_clashing_kept_columns(spark):
+    d = spark.createDataFrame([("a", 1, "t", bytearray(media.encode_ppm(np.zeros((2, 3, 3), np.uint8))))], "text string, height long, tile string, media binary")
+    row = media.media_columns(d, "media", "text", "height", "tile").first()
+    assert row.text == "a" and row.height == 2 and row.width == 3 and isinstance(row.tile, bytearray | bytes)

@@ -127,3 +127,14 @@ def test_odd_rows_and_missing_labels(spark):
     one = spark.createDataFrame([(k, 1) for k in range(1, 6)], "doc_id long, quality int")
     assert all(r.score > 0.9 for r in quality.score(d, quality.fit(d, one)).collect())
     assert quality.score(d.limit(0), model).count() == 0 and rules.judge(d.limit(0), rules.fit(d.limit(0), none)).count() == 0
+
+
+def test_repeated_labelled_rows_keep_to_the_bound(spark):
+    from tiermeter.llm.labelled import sample
+
+    docs = spark.createDataFrame([(k % 7, f"text {k % 3}") for k in range(300)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7)] * 3 + [(None, 1)], "doc_id long, quality int")
+    rows = sample(docs, labels, "quality", 100).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 7
+    again = sample(docs.repartition(5), labels, "quality", 100).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))

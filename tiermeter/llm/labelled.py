@@ -22,9 +22,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: in
 
     The rows are those with the lowest hashes of their ids, so the sample is the
     same at any partitioning. Only their ids (at most ``bound``) are broadcast;
-    the documents are not shuffled. An id with contradicting labels counts with
-    the lower one; null ids and labels are left out.
+    only their documents are shuffled. Of rows that repeat an id the text of lowest
+    hash counts, so the bound holds for rows too. An id with contradicting labels
+    counts with the lower one; null ids and labels are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     known = known.where(~held_out("doc_id", folds, held)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return with_bytes(docs, "doc_id").join(F.broadcast(known), "doc_id")
+    rows = with_bytes(docs, "doc_id").join(F.broadcast(known), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return one.select("doc_id", F.col("first.text").alias("text"), "label")

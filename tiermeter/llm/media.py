@@ -76,7 +76,7 @@ def _netpbm(data: bytes) -> np.ndarray:
 def _bmp(data: bytes) -> np.ndarray:
     (begin,) = struct.unpack_from("<I", data, 10)
     header, width, height, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if (packed, bits) not in ((0, 8), (0, 24), (0, 32), (3, 16), (3, 32)):
         raise ValueError(f"BMP with {bits} bits, compression {packed}")
     up, height = height > 0, abs(height)
     row = (width * bits + 31) // 32 * 4
@@ -86,6 +86,15 @@ def _bmp(data: bytes) -> np.ndarray:
         colours = np.frombuffer(data, np.uint8, 4 * (used or 256), 14 + header).reshape(-1, 4)
         return colours[raw[:, :width], 2::-1]
     step = bits // 8
+    if packed == 3:  # the channels' bits are told by masks behind the first 40 bytes of the header
+        whole = np.ascontiguousarray(raw[:, : width * step]).view(f"<u{step}").astype(np.int64)
+        out = np.zeros((height, width, 3), dtype=np.uint8)
+        for k, mask in enumerate(struct.unpack_from("<3I", data, 54)):
+            shift = (mask & -mask).bit_length() - 1
+            if mask:
+                most = mask >> shift
+                out[:, :, k] = (((whole & mask) >> shift) * 255 + most // 2) // most
+        return out
     return np.ascontiguousarray(raw[:, : width * step].reshape(height, width, step)[:, :, 2::-1])
 
 
@@ -156,18 +165,24 @@ def to_media(text: bytes) -> bytes:
     return encode_bmp(pixels) if zlib.crc32(body) & 1 else encode_ppm(pixels)
 
 
+OUTPUTS = ("height", "width", "samples", "tile", "dhash", "error")
+
+
 def media_columns(df: DataFrame, media: str = "media", *keep: str, tile: int = TILE) -> DataFrame:
     """Decode a binary column: ``height``, ``width``, ``samples``, ``tile`` (NPY), ``dhash`` and ``error``.
 
-    Bytes that can't be decoded, and nulls, give nulls and an ``error``.
+    Bytes that can't be decoded, and nulls, give nulls and an ``error``. A kept
+    column called like one of these gives way to it.
     """
+    keep = tuple(c for c in keep if c not in OUTPUTS)
     kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString().replace('bigint', 'long')}" for c in keep)
     schema = (f"{kept}, " if keep else "") + "height int, width int, samples binary, tile binary, dhash string, error string"
-    return arrow_map(df.select(*keep, F.col(media).alias("text")), lambda x: _decoded(x, keep, tile), schema)
+    inner = [F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)]
+    return arrow_map(df.select(*inner, F.col(media).alias("text")), lambda x: _decoded(x, keep, tile), schema)
 
 
 def _decoded(columns: dict[str, list], keep: tuple[str, ...], tile: int) -> dict[str, list]:
-    out: dict[str, list] = {k: columns[k] for k in keep}
+    out: dict[str, list] = {k: columns[f"kept{i}"] for i, k in enumerate(keep)}
     rows = []
     for data in columns["text"]:
         try:
@@ -177,7 +192,7 @@ def _decoded(columns: dict[str, list], keep: tuple[str, ...], tile: int) -> dict
             rows.append((pixels.shape[0], pixels.shape[1], pixels.tobytes(), npy(area_resize(pixels, tile, tile)), f"{difference_hash(pixels):016x}", None))
         except (ValueError, struct.error, IndexError) as e:
             rows.append((None, None, None, None, None, str(e)))
-    for name, column in zip(("height", "width", "samples", "tile", "dhash", "error"), zip(*rows, strict=True) if rows else [()] * 6, strict=True):
+    for name, column in zip(OUTPUTS, zip(*rows, strict=True) if rows else [()] * 6, strict=True):
         out[name] = list(column)
     return out
 

@@ -20,8 +20,8 @@ from tiermeter.llm.kernels import Batch, keyed, repeats, windows
 from tiermeter.llm.labelled import fold, sample
 from tiermeter.llm.quality import SYMBOLS
 
-#: Labelled rows to learn from, at most, and the tasks that share them.
-LABELLED_ROWS, FIT_TASKS = 4_000, 4
+#: Labelled rows to learn from, at most; one task fits them.
+LABELLED_ROWS = 4_000
 BITS, CHARS, WORDS = 18, (3, 4), (1, 2)
 STEPS, RATE, GAIN, DECAY = 60, 0.5, 40.0, 1e-6
 #: Probability from which a text is kept.
@@ -124,8 +124,8 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = LABELLED_ROWS) -> Model:
     """Fit on at most ``bound`` labelled rows; a quarter of them calibrates.
 
-    ``FIT_TASKS`` tasks fit a share of the rows each, and their weights are
-    averaged. Without labels every probability is 0.5.
+    The fit is one task over the other rows, in the order of their ids' hashes.
+    Without labels every probability is 0.5.
     """
     rows = sample(docs, labels, label, bound).withColumn("calibrate", fold("doc_id", 4) == 3)
     target = arrow_schema("weights binary, n long")
@@ -141,13 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
         y = np.concatenate(truth) if truth else np.empty(0)
         yield pa.RecordBatch.from_arrays([pa.array([train(parts, y).astype(np.float32).tobytes()], pa.binary()), pa.array([len(y)])], schema=target)
 
-    shares = rows.where("not calibrate").repartitionByRange(FIT_TASKS, F.xxhash64("doc_id")).select("text", "label")
-    found = [(np.frombuffer(r.weights, dtype=np.float32), r.n) for r in shares.mapInArrow(tidied(run), "weights binary, n long").collect() if r.n]
-    n = sum(k for _, k in found)
-    if not n:
+    share = rows.where("not calibrate").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label")  # at most the bound
+    found = share.mapInArrow(tidied(run), "weights binary, n long").first()
+    if found is None or not found.n:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0)
-    mean = sum(w.astype(float) * k for w, k in found) / n
-    weights, bias = mean[:-1].astype(np.float32), float(mean[-1])
+    fitted = np.frombuffer(found.weights, dtype=np.float32)
+    weights, bias = fitted[:-1], float(fitted[-1])
     pairs = arrow_map(rows.where("calibrate").select("text", "label"), lambda c: {"z": logits(c["text"], weights, bias), "label": c["label"]}, "z double, label int").toArrow()
     return Model(weights, bias, *platt(np.asarray(pairs.column("z")), np.asarray(pairs.column("label"))))
 
