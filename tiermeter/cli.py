@@ -1,10 +1,11 @@
-"""Commands over a ledger: run, audit, sweep, calibrate, report, runs, export, import, datasets, demo."""
+"""Commands over a ledger: init, run, audit, sweep, calibrate, report, runs, export, import, datasets, demo."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import math
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -17,9 +18,39 @@ from tiermeter.sources.ledger import Ledger
 from tiermeter.streaming.runner import Limits, Runner, Stopped
 
 # Exit codes.
-OK, FAILED, USAGE, BREACH, STOPPED = 0, 1, 2, 3, 4
+OK, FAILED, USAGE, BREACH, STOPPED, INTERRUPTED = 0, 1, 2, 3, 4, 130
+#: Runs that a message about an unknown one names, at most.
+RECENT = 5
 DEMO = {"tiers": [{"name": "fast", "backend": "simulated", "threshold": 0.7, "options": {"skill": 3.0}}, {"name": "slow", "backend": "simulated", "options": {"skill": 7.0, "input_price": 5.0, "output_price": 25.0}}], "audit": {"rate": 0.3, "tolerance": 0.1}}
 
+STARTER = """\
+# Where decisions go: a folder that all machines share.
+ledger = "ledger"
+
+[run]
+id = "first"
+mode = "serve"  # eval asks every tier about every task
+
+[[tiers]]
+name = "fast"
+backend = "simulated"
+threshold = 0.7  # answers with at least this confidence are served
+[tiers.options]
+skill = 3.0
+
+[[tiers]]
+name = "slow"  # the last tier has no threshold
+backend = "simulated"
+[tiers.options]
+skill = 7.0
+input_price = 5.0
+output_price = 25.0
+
+[audit]
+rate = 0.1  # share of the served cases that the last tier answers again
+tolerance = 0.05
+"""
+
 
 def plain(v):
     """JSON without NaN and infinities."""
@@ -63,6 +94,7 @@ def parser() -> argparse.ArgumentParser:
 
     number = {"type": float, "default": None}
     limits = [("--budget", number), ("--failures", {"type": int, "default": None}), ("--mode", {"choices": ["serve", "eval"], "default": None})]
+    add("init", ("path", {"nargs": "?", "default": "tiermeter.toml"}), ("--force", {"action": "store_true"}), ledger=False)
     add("run", ("config", {}), ("tasks", {}), ("--limit", {"type": int, "default": None}), *limits)
     add("demo", ("--n", {"type": int, "default": 400}), *limits)
     add("audit", ("--tolerance", number), ("--level", {"type": float, "default": 0.95}), ("--json", {"action": "store_true"}))
@@ -78,12 +110,37 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("tiermeter").getOrCreate()
     try:
-        return _command(spark, a)
+        if a.command == "init":
+            return _init(a.path, a.force)
+        return _command(spark or SparkSession.builder.appName("tiermeter").getOrCreate(), a)
     except (config.ConfigError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return USAGE
+    except KeyboardInterrupt:
+        print("interrupted; run the same command again to go on", file=sys.stderr)
+        return INTERRUPTED
+
+
+def _init(path: str, force: bool) -> int:
+    """A configuration to start from; a file that is there stays unless forced."""
+    if os.path.exists(path) and not force:
+        raise ValueError(f"{path} is there already; --force replaces it")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(STARTER)
+    print(path)
+    return OK
+
+
+def _which_run(book: Ledger, wanted: str | None) -> tuple[str, str]:
+    """The run asked for, or the latest one, and its mode."""
+    known = {r.run_id: r.mode for r in book.runs().collect()}  # a row for each run, oldest first
+    if not known:
+        raise ValueError("the ledger has no runs")
+    if wanted is not None and wanted not in known:
+        raise ValueError(f"no run {wanted}; the last ones are {', '.join(list(known)[-RECENT:])}")
+    run = wanted or book.latest_run_id()
+    return run, known[run]
 
 
 def _command(spark: SparkSession, a) -> int:
@@ -106,9 +163,7 @@ def _command(spark: SparkSession, a) -> int:
     if a.command == "import":
         print(book.import_jsonl(a.path))
         return OK
-    run = a.run or book.latest_run_id()
-    if run is None:
-        raise ValueError("the ledger has no runs")
+    run, mode = _which_run(book, a.run)
     if a.command == "export":
         book.export_jsonl(a.path, run)
         return OK
@@ -118,7 +173,8 @@ def _command(spark: SparkSession, a) -> int:
         show(s.to_dict()) if a.json else print(report.as_text(s))
         return BREACH if s.status == "breach" else OK
     if a.command == "report":
-        report.write_report(audit.summarize(decisions, a.tolerance), a.path)
+        s = audit.summarize(decisions, a.tolerance)
+        report.write_report(s, a.path, report.eval_sections(decisions, s.tiers) if mode == "eval" else ())
         return OK
     tiers, _ = audit.tier_order(decisions)
     if a.command == "sweep":
@@ -132,7 +188,7 @@ def _command(spark: SparkSession, a) -> int:
     at = F.get(F.filter("attempts", lambda x: x["tier"] == F.lit(tier)), F.lit(0))
     pairs = decisions.select(F.col("task.id").alias("event_id"), at["confidence"]["score"].alias("score"), F.coalesce(at["correct"]["equivalent"], at["agreement"]["equivalent"]).alias("label"), at["error"].alias("error"))
     pairs = pairs.where("error is null and score is not null and not isnan(score) and label is not null")
-    show(calibrate.cross_fitted(pairs) | {"tier": tier, "points": calibrate.thin_knots(calibrate.fit_isotonic(pairs), a.knots)})
+    show(calibrate.cross_fitted(pairs) | {"tier": tier, "measures": calibrate.measures(pairs), "points": calibrate.thin_knots(calibrate.fit_isotonic(pairs), a.knots)})
     return OK
 
 

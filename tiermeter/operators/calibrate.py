@@ -77,6 +77,30 @@ def aurc(pairs: DataFrame, score: str = "score", label: str = "label") -> DataFr
     return risk_coverage(pairs, score, label).agg(F.sum(F.col("risk") * F.col("step")).alias("aurc"))
 
 
+def curve(pairs: DataFrame, most: int = 200, score: str = "score", label: str = "label") -> DataFrame:
+    """The risk-coverage points, one at most for each of ``most`` equal ranges of coverage: its last."""
+    part = F.least(F.lit(most - 1), F.floor(F.col("coverage") * most))
+    return risk_coverage(pairs, score, label).groupBy(part.alias("part")).agg(F.max(F.struct("coverage", "risk", "score")).alias("p")).select("p.*")
+
+
+def measures(pairs: DataFrame, score: str = "score", label: str = "label") -> dict:
+    """How far scores can be trusted: counts, ECE, Brier, AUROC, AURC and reliability bins.
+
+    Rows without a finite score count as ``missing`` only. ECE, Brier and bins need all
+    scores to lie in [0, 1], and are None or empty otherwise, as is all of it without scores.
+    """
+    known = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+    there = pairs.where(known).select(F.col(score).alias("score"), F.col(label).cast("boolean").alias("label"))
+    n = pairs.agg(F.count_if(known).alias("n"), F.count_if(~known).alias("missing"), F.coalesce(F.bool_and(F.when(known, F.col(score).between(0, 1))), F.lit(True)).alias("within")).first()
+    out: dict = {"n": n.n, "missing": n.missing, "ece": None, "brier": None, "auroc": None, "aurc": None, "reliability": []}
+    if not n.n:
+        return out
+    out |= {"auroc": auroc(there).first().auroc, "aurc": aurc(there).first().aurc}
+    if n.within:
+        out |= {"ece": ece(there).first().ece, "brier": brier(there).first().brier, "reliability": [r.asDict() for r in reliability(there).orderBy("bin").collect()]}  # BINS rows
+    return out
+
+
 def pool(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
     """Isotonic knots (block ends) from (score, sum of labels, count) in ascending score."""
     blocks: list[list[float]] = []
