@@ -56,6 +56,27 @@ def aurc(spark, d):
     return calibrate.aurc(pairs(spark, d)).select(r9("aurc").alias("aurc"))
 
 
+@query(f"""WITH {_RISK}, t AS (SELECT count(score) AS n, count(*) - count(score) AS missing FROM facts WHERE NOT failed AND event_id % 10 <> 9),
+p AS (SELECT avg((score - CAST(fast_ok AS INTEGER)) ** 2) AS brier FROM scored),
+b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS m, abs(avg(CAST(fast_ok AS INTEGER)) - avg(score)) AS gap FROM scored GROUP BY 1), e AS (SELECT sum(m * gap) / sum(m) AS ece FROM b),
+g AS (SELECT score, count(*) FILTER (WHERE fast_ok) AS k, count(*) FILTER (WHERE NOT fast_ok) AS neg FROM scored GROUP BY score), h AS (SELECT *, sum(neg) OVER (ORDER BY score) AS upto FROM g),
+u AS (SELECT sum(k * (upto - neg) + 0.5e0 * k * neg) / (sum(k) * sum(neg)) AS auroc FROM h), a AS (SELECT sum(wrong::DOUBLE / covered * n / total) AS aurc FROM r)
+SELECT n, missing, round(ece, 9) AS ece, round(brier, 9) AS brier, round(auroc, 9)::DOUBLE AS auroc, round(aurc, 9) AS aurc FROM t, p, e, u, a""")
+def calibration_report(spark, d):
+    """All measures of the fast tier's scores, with the graded cases that have none."""
+    graded = facts(table(spark, d, "events")).where("not failed and event_id % 10 <> 9").select("score", F.col("fast_ok").alias("label"))
+    m = calibrate.measures(graded)
+    row = (m["n"], m["missing"], *(m[k] for k in ("ece", "brier", "auroc", "aurc")))
+    return spark.createDataFrame([row], "n long, missing long, ece double, brier double, auroc double, aurc double").select("n", "missing", *[r9(k).alias(k) for k in ("ece", "brier", "auroc", "aurc")])
+
+
+@query(f"WITH {_RISK}, p AS (SELECT *, least(199, floor(covered::DOUBLE / total * 200)) AS part FROM r) SELECT max(covered) AS covered, round(max_by(wrong::DOUBLE / covered, covered), 9) AS risk, min(score) AS score FROM p GROUP BY part")
+def risk_curve(spark, d):
+    """The risk-coverage curve by 200 points at most, as charts draw it."""
+    n = F.lit(pairs(spark, d).count())
+    return calibrate.curve(pairs(spark, d)).select(F.round(F.col("coverage") * n).cast("long").alias("covered"), r9("risk").alias("risk"), "score")
+
+
 @query(f"""WITH {SCORED_SQL}, s AS (SELECT row_number() OVER (ORDER BY score) AS i, score, count(*) AS n, count(*) FILTER (WHERE fast_ok) AS k FROM scored GROUP BY score),
 c AS (SELECT i, score, sum(n) OVER (ORDER BY i) AS cn, sum(k) OVER (ORDER BY i) AS ck, n, k FROM s),
 m AS (SELECT a.i AS lo, b.i AS hi, (b.ck - a.ck + a.k)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i),
