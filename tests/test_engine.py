@@ -211,3 +211,27 @@ def test_structure():
     for p in (root / "tiermeter").rglob("*.py"):
         if "llm" not in p.parts:
             assert "tiermeter.llm" not in p.read_text()
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    """Spark reads larger files first; numbers follow the names of the files and their lines."""
+    folder = tmp_path / "many.jsonl"
+    folder.mkdir()
+    want = []
+    for k, n in enumerate((3, 400, 1, 60)):
+        lines = [f"file {k} line {i} " + "x" * (i % 40) for i in range(n)]
+        (folder / f"part-{k}.jsonl").write_text("".join(json.dumps({"prompt": t}) + "\n\n" for t in lines))
+        want += lines
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in (size, "4096b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            got = tasks.load_tasks(spark, f"file://{folder}").orderBy("pos").collect()
+            assert [r.prompt for r in got] == want and [r.pos for r in got] == list(range(1, len(want) + 1)), most
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "short.csv").write_text('prompt,answer,id\nx\ny,1,k\n"say ""a, b"" or",2,q\n"p, ""q"", r"\n')
+    assert {(r.id, r.prompt, r.reference) for r in tasks.load_tasks(spark, f"file://{tmp_path}/short.csv").collect()} == {("t0001", "x", None), ("k", "y", "1"), ("q", 'say "a, b" or', "2"), ("t0004", 'p, "q", r', None)}
+    (tmp_path / "wide.csv").write_text("prompt,answer\nx,1\ny,1,\n")
+    with pytest.raises(Exception, match="too many cells"):
+        tasks.load_tasks(spark, f"file://{tmp_path}/wide.csv").collect()

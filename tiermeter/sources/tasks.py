@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Names of a record's prompt and reference, first present wins.
 PROMPTS = ("prompt", "question", "input")
@@ -73,24 +74,33 @@ def with_ids(d: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(total)).select("pos", F.coalesce("given", own).alias("id"), "prompt", "reference", "meta")  # one row of totals
 
 
+#: Where a row was read: its file and the start of the split.
+SPLIT = ("__file", "__from")
+
+
+def with_split(rows: DataFrame) -> DataFrame:
+    """Rows as a file source gives them, with the split that they come from."""
+    return rows.select("*", *[F.col(f"_metadata.{c}").alias(name) for c, name in zip(("file_path", "file_block_start"), SPLIT, strict=True)])
+
+
 def positions(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Rows numbered from 1 in file order, without bringing them into one task.
+    """Rows of ``with_split`` numbered from 1 in the order of file names and lines, without bringing them into one task.
 
-    Spark reads a file's splits in order, so a row's number is its number within
-    its partition after the counts of the partitions before it.
+    A task reads a split from its start to its end, so a row's number is its number
+    within its split after the counts of the splits before it.
     """
-    tagged = lines.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33))
-    sizes = tagged.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # a row for each split
-    own = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.join(F.broadcast(before), "__p").select((own + F.col("__b") + 1).alias("pos"), F.col(column))
+    tagged = lines.withColumn("__id", F.monotonically_increasing_id())
+    sizes = tagged.groupBy(*SPLIT).agg(F.count("*").alias("n"), F.min("__id").alias("__first"))
+    earlier = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*SPLIT, "__first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__b"))  # a row for each split
+    return tagged.join(before, list(SPLIT)).select((F.col("__id") - F.col("__first") + F.col("__b") + 1).alias("pos"), F.col(column))
 
 
 def load_tasks(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Tasks of a ``.jsonl``, ``.json`` or ``.csv`` file."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "jsonl":
-        lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", "^﻿", "")) != "")
+        lines = with_split(spark.read.text(path)).where(F.trim(F.regexp_replace("value", "^﻿", "")) != "")
         rows = positions(lines).select("pos", F.regexp_replace("value", "^﻿", "").alias("record"))
         bad = F.from_json("record", "map<string,string>").isNull()
         rows = rows.where(F.assert_true(~bad, F.concat(F.lit(f"{path}:"), F.col("pos").cast("string"), F.lit(": not a JSON object"))).isNull())
@@ -101,13 +111,19 @@ def load_tasks(spark: SparkSession, path: str, limit: int | None = None) -> Data
         rows = text.select(F.posexplode(F.from_json(inner, "array<string>")).alias("p", "record")).select((F.col("p") + 1).alias("pos"), "record")
         return from_records(rows, limit=limit)
     if kind == "csv":
-        df = spark.read.csv(path, header=True, mode="FAILFAST", enforceSchema=False, multiLine=True)
-        names = [n.strip() for n in df.columns]
+        form = {"header": True, "multiLine": True, "escape": '"'}
+        given = spark.read.csv(path, **form).columns
+        names = [n.strip() for n in given]
         if len(set(names)) < len(names):
             raise ValueError(f"{path}: repeated header")
-        df = df.toDF(*names).fillna("")
+        odd = "__odd"  # a row with another number of cells, as it stands: short ones are padded, long ones are errors
+        schema = StructType([StructField(n, StringType()) for n in [*given, odd]])
+        df = spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=odd, enforceSchema=False, **form)
+        cells = F.size(F.split(F.regexp_replace(odd, '"[^"]*"', ""), ","))
+        df = df.where(F.assert_true(F.coalesce(cells <= len(names), F.lit(True)), F.lit(f"{path}: too many cells in a row")).isNull())
+        df = with_split(df).drop(odd).toDF(*names, *SPLIT).fillna("", names)
         df = df.where(F.concat_ws("", *[F.trim(f"`{n}`") for n in names]) != "")
-        rows = positions(df.select(F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])).alias("record")), "record")
+        rows = positions(df.select(*SPLIT, F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])).alias("record")), "record")
         return from_records(rows, from_csv=True, limit=limit)
     raise ValueError(f"{path}: tasks come from .jsonl, .json or .csv files")
 
