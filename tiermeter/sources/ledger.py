@@ -118,7 +118,7 @@ class Ledger:
     def done_of(self, run_id: str, ids: DataFrame) -> DataFrame:
         """Which of ``ids`` (``id``, one micro-batch) have a decision without error; only ids and errors of the run are read."""
         good = self._log().where((F.col("run_id") == run_id) & F.col("error").isNull()).select(F.col("task.id").alias("id"))
-        return good.join(F.broadcast(ids.select("id")), "id", "left_semi").distinct().select(F.col("id").alias("task_id"))  # a batch of tasks
+        return good.join(ids.select("id"), "id", "left_semi").distinct().select(F.col("id").alias("task_id"))  # Spark broadcasts the ids if they are few
 
     def has(self, run_id: str, task_id: str) -> bool:
         return not self._log().where((F.col("run_id") == run_id) & (F.col("task.id") == task_id)).limit(1).isEmpty()
