@@ -149,3 +149,60 @@ def test_ties_and_the_edge_of_the_broadcast(spark):
         least = lm.least_count(words, most)
         assert words.where(words.n >= least).count() <= most
     assert lm.least_count(words, 10_000) == 1 and lm.least_count(words.limit(0), 5) == 1
+
+
+def test_words_without_a_place_follow_what_stands_before(spark):
+    """Words beyond a class's places differ by context: the one that follows there in training is likelier."""
+    rows = [(k, " ".join(f"y{j % 200:03d}lor x{j % 200:03d}qua" for j in range(k, k + 40))) for k in range(400)]
+    out = [d for d in range(1000, 3000) if held(d)][:80]
+    rows += [(d, f"y{k:03d}lor x{(k + (i % 2) * 90) % 200:03d}qua") for i, d in enumerate(out) for k in [i // 2 * 5]]
+    score = {r.doc_id: r.score for r in lm.language_model(frame(spark, rows)).collect()}
+    better = [score[a] - score[b] for a, b in zip(out[::2], out[1::2], strict=True)]
+    assert np.median(better) > 0.5 and sum(x > 0.5 for x in better) > 0.8 * len(better)
+
+
+def test_pairs_are_those_of_brute_force(spark, monkeypatch):
+    for name, value in (("PLACES", 3), ("TOP_WORDS", 9), ("DEALT_TOKENS", 300), ("PART_TOKENS", 200)):
+        monkeypatch.setattr(lm, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{int(x)}{'abc'[int(x) % 3]}" for x in rng.zipf(1.4, 40) % 90)) for k in range(200)] + [(500, None), (501, "new words here"), (503, ""), (None, "w1b w1b"), (502, "w7b w8c w9a " * 50)]
+    given = with_bytes(frame(spark, rows), "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    train = given.where(~lm.held_out("doc_id", 10, 0))
+    m, table = lm.fit(train)
+    paired = lm.followers(train, m)
+    assert lm.parts_of(m.tokens) > 16
+    word = {}
+
+    def line(text):
+        """(context, class, word) of each word in a rest, or nothing for it."""
+        parts, out, last = parts_of(text, m), [], int(lm.END_WORD)
+        for h, f, _, place in parts[:-1]:
+            word[h] = m.class_of[f]
+            out.append(None if place else (int(lm.contexts(np.array([last], dtype=np.uint64))[0]), int(word[h]), h))
+            last = h
+        return out
+
+    pairs = Counter(x for d, t in rows if not held(d) for x in line(t) if x)
+    n, kinds, count = Counter(), Counter(), Counter()
+    for (u, g, w), c in pairs.items():
+        n[u, g] += c
+        kinds[u, g] += 1
+        count[w] += c
+    assert max(pairs.values()) > 20 and len(count) > 40
+
+    def share(w):
+        return (count[w] + lm.SMOOTH) / m.rest_mass[word[w]]
+
+    def probability_in_rest(u, g, w):
+        return (max(pairs[u, g, w] - 1, 0) + kinds[u, g] * share(w)) / n[u, g] if n[u, g] else share(w)
+
+    plain, got = ({(-1 if r.doc_id is None else r.doc_id): r for r in lm.score(given, x, table).collect()} for x in (m, paired))
+    assert len(plain) == len(got) == len(rows)
+    for d, t in rows:
+        a, b = plain[-1 if d is None else d], got[-1 if d is None else d]
+        assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score, abs=1e-9)
+        want = sum(math.log10(probability_in_rest(*x) / share(x[2])) for x in line(t) if x and count[x[2]])
+        assert b.score - a.score == pytest.approx(want, abs=1e-4 * max(1, len(tokens(t)) / 20)), d
+    for u, g in n:
+        mass = sum(probability_in_rest(u, g, w) for w in count if word[w] == g)
+        assert 0.9 < mass < 1 + 1e-9

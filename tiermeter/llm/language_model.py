@@ -17,8 +17,15 @@ forms.
    feature's change is averaged over the partitions by how often they met it.
    As steps are local within a round, another partitioning gives slightly other
    weights.
-3. Scoring takes counts of at most ``TOP_WORDS`` words, those above a count, from
-   a broadcast of bounded size; rarer words are joined to the count table.
+3. Words without a place of their own share their class's rest by exact counts of
+   what they follow: with c of a context and a word, q the word's smoothed share of
+   the rest, and the context's tokens and kinds of words in that rest,
+   P(word | rest, context) = (max(c - 1, 0) + kinds * q) / tokens. The context is the
+   last word, whatever its count, by one of ``CONTEXTS`` hashes. All pairs are counted,
+   dealt by the word.
+4. Scoring takes counts of at most ``TOP_WORDS`` words, those above a count, from
+   a broadcast of bounded size; rarer words are joined to the count table. Tokens in
+   a rest are dealt to the pairs by their words.
 """
 
 from __future__ import annotations
@@ -52,6 +59,12 @@ TOP_WORDS = 1 << 19
 HELD_WORDS = 1 << 19
 STEP_TOKENS, RATE, TURNS = 1 << 15, 0.08, 3
 CHUNK_ROWS = 256
+#: Hashes of the last word, before words in a rest; they have 16 bits.
+CONTEXTS = 1 << 16
+#: Chunks of the table of contexts and classes.
+CELL_CHUNKS = 64
+#: Tokens in a rest that a task holds before it deals them, and training tokens for each part they are dealt to.
+DEALT_TOKENS, PART_TOKENS = 1 << 20, 1 << 21
 
 
 def forms(b: Batch, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -189,6 +202,8 @@ class Model:
     place_weights: np.ndarray
     top: np.ndarray  # sorted hashes of the words whose counts are broadcast
     top_count: np.ndarray
+    cells: tuple[np.ndarray, np.ndarray] | None = None  # tokens, and kinds of words, in the rest of each class after each context
+    after: DataFrame | None = None  # pairs, see ``followers``; stays with the driver
 
     def read(self, b: Batch) -> Tokens:
         """A batch's tokens: what they are, and their features."""
@@ -208,6 +223,18 @@ class Model:
         rows = [one, n + two, 2 * n + three, 3 * n + pair_row(self.pairs, one, two)]
         return Tokens(types, of, doc, group, place[of], rows, place_rows(group, one, two))
 
+    def rest(self, b: Batch) -> Rest:
+        """A batch's words in the rest of a class; ends are in none."""
+        types, at, type_of = distinct(b.words())
+        group = self.class_of[forms(b, at)]
+        own = np.zeros(len(types), dtype=bool)
+        if len(self.frequent):
+            near = np.minimum(np.searchsorted(self.frequent, types), len(self.frequent) - 1)
+            own = (self.frequent[near] == types) & (self.place[near] > 0)
+        where = np.flatnonzero(~own[type_of])
+        prior = np.where(np.diff(b.doc, prepend=-1) > 0, len(types), np.roll(type_of, 1))
+        return Rest(types, group, type_of[where], contexts(np.append(types, END_WORD))[prior[where]], b.doc[where])
+
 
 @dataclass(frozen=True)
 class Tokens:
@@ -219,11 +246,173 @@ class Tokens:
     rows: list[np.ndarray]  # of the table for classes
     place_rows: list[np.ndarray]  # of the table for places
 
+    def rest(self) -> Rest:
+        end = len(self.types) - 1
+        group = np.zeros(len(self.types), dtype=np.int64)
+        group[self.type_of] = self.group
+        where = np.flatnonzero((self.place == 0) & (self.type_of != end))
+        prior = np.concatenate(([end], self.type_of[:-1]))
+        return Rest(self.types, group, self.type_of[where], contexts(self.types)[prior[where]], self.doc[where])
+
     def runs(self) -> Iterator[slice]:
         for a in range(0, len(self.doc), STEP_TOKENS):
             yield slice(a, a + STEP_TOKENS)
 
 
+@dataclass(frozen=True)
+class Rest:
+    types: np.ndarray  # hashes of the batch's words, in order
+    group: np.ndarray  # their classes
+    type_of: np.ndarray  # of each token in a rest
+    context: np.ndarray
+    doc: np.ndarray
+
+
+def contexts(types: np.ndarray) -> np.ndarray:
+    """What each word is as the last one; the end stands before a text's first."""
+    return (mix(types) >> np.uint64(48)).astype(np.int64)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by their lowest bytes, then the next ones, compressed; the length stands before."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T if len(values) else values).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def numbers(value: bytes, kind: type) -> np.ndarray:
+    planes = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+#: ``kind``: 0 for pairs, 1 for tokens to score, 2 for cells; ``part``: of the words, or a chunk of the cells.
+DEALT = "kind int, part int, origin long, a binary, b binary, c binary, d binary, e binary"
+
+
+def dealt(held: list[Rest], firsts: list[int], parts: int, origin: int, count: bool) -> pa.RecordBatch:
+    """Tokens as a row for each part of the words: words, their tokens and classes; contexts, and texts less ``origin`` or how often it stands there."""
+    types, at, inverse = distinct(np.concatenate([r.types for r in held]))
+    group = np.concatenate([r.group for r in held])[at].astype(np.uint8)
+    edge = np.cumsum([0] + [len(r.types) for r in held])
+    word = np.concatenate([inverse[a:z][r.type_of] for r, a, z in zip(held, edge, edge[1:], strict=False)])
+    key = word << 16 | np.concatenate([r.context for r in held])
+    if count:
+        key, last = np.unique(key, return_counts=True)
+    else:
+        doc = np.concatenate([r.doc + f for r, f in zip(held, firsts, strict=True)])
+        order = np.lexsort((doc, key)) if len(types) >= 1 << 27 or doc.max() >= 1 << 20 else None
+        if order is None:  # in one number
+            key = np.sort(key << 20 | doc)
+            key, last = key >> 20, key & ((1 << 20) - 1)
+        else:
+            key, last = key[order], doc[order]
+    word = key >> 16
+    own, first = np.unique(word, return_index=True)
+    runs = np.diff(np.append(first, len(word)))
+    part = ((types[own] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # grows with the word
+    some, start = np.unique(part, return_index=True)
+    of_word = [types[own], runs.astype(np.uint32), group[own]]
+    of_token = [(key & 0xFFFF).astype(np.uint16), last.astype(np.uint32)]
+    stop, first = np.append(start[1:], len(own)), np.append(first, len(word))
+    columns = [[packed(v[a:z]) for a, z in zip(start, stop, strict=True)] for v in of_word] + [[packed(v[first[a] : first[z]]) for a, z in zip(start, stop, strict=True)] for v in of_token]
+    values = [[int(not count)] * len(some), some, [origin] * len(some), *columns]
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow_schema(DEALT), strict=True)], schema=arrow_schema(DEALT))
+
+
+class Dealer:
+    """Holds tokens in a rest and deals them when there are ``most``."""
+
+    def __init__(self, parts: int, most: int, count: bool, row: int = 0):
+        self.parts, self.most, self.count, self.origin, self.row, self.size = parts, most, count, row, row, 0
+        self.held: list[Rest] = []
+        self.firsts: list[int] = []
+
+    def add(self, rest: Rest, n: int) -> Iterator[pa.RecordBatch]:
+        """Takes the tokens of the next ``n`` texts."""
+        if len(rest.type_of):
+            self.held.append(rest)
+            self.firsts.append(self.row - self.origin)
+            self.size += len(rest.type_of)
+        self.row += n
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield dealt(self.held, self.firsts, self.parts, self.origin, self.count)
+        self.held, self.firsts, self.origin, self.size = [], [], self.row, 0
+
+
+def parts_of(tokens: int) -> int:
+    return max(16, tokens // PART_TOKENS)
+
+
+def followers(train: DataFrame, model: Model) -> Model:
+    """The model with its cells and pairs.
+
+    A row of the pairs holds, for a part of the words: the words; pairs met twice or
+    more, as a word's number and the context; and c - 1 of each, by the word's share.
+    """
+    given = train.sparkSession.sparkContext.broadcast(replace(model, weights=None, place_weights=None, top=None, top_count=None))
+    target = arrow_schema(DEALT)
+    parts, most, chunk_cells = parts_of(model.tokens), DEALT_TOKENS, CONTEXTS * CLASSES // CELL_CHUNKS
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = given.value
+        dealer = Dealer(parts, most, True)
+        for columns in sliced(batches):
+            b = Batch(columns["text"], lower=True)
+            yield from dealer.add(m.rest(b), b.n)
+        yield from dealer.flush()
+
+    def merged(part: int, rows: list[list[bytes]]) -> pa.RecordBatch:
+        m = given.value
+        types, at, inverse = distinct(np.concatenate([numbers(r[0], np.uint64) for r in rows]))
+        group = np.concatenate([numbers(r[2], np.uint8) for r in rows])[at].astype(np.int64)
+        key = np.repeat(inverse, np.concatenate([numbers(r[1], np.uint32) for r in rows])) << 16 | np.concatenate([numbers(r[3], np.uint16) for r in rows])
+        key, inverse = np.unique(key, return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([numbers(r[4], np.uint32) for r in rows]))
+        word = key >> 16
+        share = (np.bincount(word, weights=n) + SMOOTH) / m.rest_mass[group]
+        twice = np.flatnonzero(n > 1)
+        more = (n[twice] - 1) / share[word[twice]]
+        out = [[0, part, None, packed(types), packed(key[twice]), packed(more.astype(np.float32)), None, None]]
+        cell = (key & 0xFFFF) * CLASSES + group[word]
+        some, inverse = np.unique(cell, return_inverse=True)
+        sums = [np.bincount(inverse, weights=n).astype(np.int64), np.bincount(inverse)]
+        chunks, start = np.unique(some // chunk_cells, return_index=True)
+        for c, a, z in zip(chunks, start, np.append(start[1:], len(some)), strict=True):
+            out.append([2, c, None, packed((some[a:z] % chunk_cells).astype(np.int32)), *[packed(v[a:z]) for v in sums], None, None])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for own, *blobs in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5, 6, 7)), strict=True):
+                if own != part and rows:
+                    yield merged(part, rows)
+                    rows = []
+                part = own
+                rows.append(blobs)
+        if rows:
+            yield merged(part, rows)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # a few of CELL_CHUNKS chunks
+        for batch in batches:
+            for k, *blobs in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
+                held, at = sums.setdefault(k, np.zeros((2, chunk_cells), dtype=np.int64)), numbers(blobs[0], np.int32)
+                held[0, at] += numbers(blobs[1], np.int64)
+                held[1, at] += numbers(blobs[2], np.int64)
+        values = [[2] * len(sums), list(sums), [None] * len(sums), *[[packed(v[i].astype(np.float32)) for v in sums.values()] for i in (0, 1)], *[[None] * len(sums)] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, target, strict=True)], schema=target)
+
+    table = written(train.select("text").mapInArrow(tidied(deal), DEALT).repartition("part").sortWithinPartitions("part").mapInArrow(tidied(merge), DEALT), "pairs")
+    cells = np.zeros((2, CELL_CHUNKS, chunk_cells), dtype=np.float32)
+    for row in table.where("kind = 2").repartition("part").mapInArrow(tidied(add), DEALT).collect():  # CELL_CHUNKS rows
+        cells[:, row.part] = numbers(row.a, np.float32), numbers(row.b, np.float32)
+    return replace(model, cells=(cells[0].ravel(), cells[1].ravel()), after=table.where("kind = 0"))
+
+
 COUNTS = "word long, form int, n long"
 
 
@@ -355,7 +544,7 @@ def least_count(vocabulary: DataFrame, most: int) -> int:
 
 
 def fit(train_docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of counts (``word``, ``n``)."""
+    """The model without its pairs, and the table of counts (``word``, ``n``)."""
     table = written(counts(train_docs), "word-counts")
     vocabulary = table.where("form >= 0")
     by_form = vocabulary.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once")).toArrow()
@@ -398,13 +587,75 @@ def fit(train_docs: DataFrame) -> tuple[Model, DataFrame]:
     return replace(model, weights=bare.weights, place_weights=bare.place_weights), vocabulary.select("word", "n")
 
 
-SCORED = "row long, doc_id long, word long, n long, known long, base double, own double"
+SCORED = "row long, doc_id long, word long, n long, known long, base double, own double, " + DEALT
+SUMS = "origin long, own binary"
+ROWS = "row long, own double"
+
+
+def in_rest(tokens: DataFrame, model: Model) -> DataFrame:
+    """(``row``, ``own``): what pairs add to the scores of texts, beyond words' shares of their rests; words never seen have none."""
+    n, kinds = model.cells
+    with np.errstate(divide="ignore", invalid="ignore"):
+        less = np.where(n > 0, np.log10(kinds / n), 0).astype(np.float32)
+    given = tokens.sparkSession.sparkContext.broadcast((less, kinds))  # CONTEXTS x CLASSES
+    sums_schema, rows_schema = arrow_schema(SUMS), arrow_schema(ROWS)
+
+    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        less, kinds = given.value
+        part = None
+        for batch in batches:
+            out_origin, out_own = [], []
+            for kind, own_part, origin, *blobs in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if kind == 0:
+                    part, known = own_part, numbers(blobs[0], np.uint64)
+                    pairs, more = numbers(blobs[1], np.int64), numbers(blobs[2], np.float32)
+                if kind == 0 or own_part != part:  # no word of this part is known
+                    continue
+                words = numbers(blobs[0], np.uint64)
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                runs = numbers(blobs[1], np.uint32)
+                seen, at, group = (np.repeat(v, runs) for v in (known[at] == words, at, numbers(blobs[2], np.uint8)))
+                context, doc = numbers(blobs[3], np.uint16).astype(np.int64), numbers(blobs[4], np.uint32)
+                cell = context * CLASSES + group
+                value = less[cell].astype(np.float64)
+                if len(pairs):
+                    key = at << 16 | context
+                    near = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                    hit = np.flatnonzero((pairs[near] == key) & seen)
+                    value[hit] += np.log10(1 + more[near[hit]] / kinds[cell[hit]])
+                out_origin.append(origin)
+                out_own.append(packed(np.bincount(doc[seen], weights=value[seen]).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([pa.array(out_origin, pa.int64()), pa.array(out_own, pa.binary())], schema=sums_schema)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        origin, total = None, np.zeros(0)
+
+        def rows() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(at + origin), pa.array(total[at])], schema=rows_schema)
+
+        for batch in batches:
+            for own_origin, own in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                if own_origin != origin:
+                    if origin is not None:
+                        yield rows()
+                    origin, total = own_origin, np.zeros(0)
+                own = numbers(own, np.float32)
+                short, long = sorted((own, total), key=len)
+                total = long.astype(np.float64)
+                total[: len(short)] += short
+        if origin is not None:
+            yield rows()
+
+    both = model.after.union(tokens).repartition("part").sortWithinPartitions("part", "kind")
+    return both.mapInArrow(tidied(look_up), SUMS).repartition("origin").sortWithinPartitions("origin").mapInArrow(tidied(add), ROWS)
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
     """Scores for every row; see ``language_model``."""
-    given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TOP_WORDS, FREQUENT and the tables
-    target = arrow_schema(SCORED)
+    given = docs.sparkSession.sparkContext.broadcast(replace(model, cells=None, after=None))  # bounded by TOP_WORDS, FREQUENT and the tables
+    target, dealt_fields = arrow_schema(SCORED), arrow_schema(DEALT)
+    paired, parts, most = model.after is not None, parts_of(model.tokens), DEALT_TOKENS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
@@ -413,10 +664,21 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
         log_seen = np.log10(1 - m.unseen)
         log_count = np.log10(m.top_count + SMOOTH)
         several = np.isfinite(m.place_bias[:, 1:]).any(axis=1)
+        dealer = Dealer(parts, most, False, row)
+
+        def whole(values: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(values + [pa.nulls(len(values[0]), f.type) for f in dealt_fields], schema=target)
+
+        def apart(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in found:
+                yield pa.RecordBatch.from_arrays([pa.nulls(r.num_rows, f.type) for f in list(target)[: -len(dealt_fields)]] + r.columns, schema=target)
+
         for columns in sliced(batches):
             b = Batch(columns["text"], lower=True)
             t = m.read(b)
             doc = t.doc
+            if paired:
+                yield from apart(dealer.add(t.rest(), b.n))
             of_place = np.zeros(len(doc))  # with the class, in natural logarithms
             for part in t.runs():
                 of_place[part] = log_softmax_at(m.weights, m.bias, [r[part] for r in t.rows], t.group[part])
@@ -432,7 +694,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
             first = np.arange(b.n) + row
             row += b.n
             sums = [np.bincount(doc[hit], weights=v[hit], minlength=b.n) for v in (base, of_class + np.where(in_rest, base, 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(columns["doc_id"], pa.int64()), pa.nulls(b.n, pa.int64()), pa.array(b.n_words + 1), pa.array(np.bincount(doc[hit], minlength=b.n)), *map(pa.array, sums)], schema=target)
+            yield whole([pa.array(first), pa.array(columns["doc_id"], pa.int64()), pa.nulls(b.n, pa.int64()), pa.array(b.n_words + 1), pa.array(np.bincount(doc[hit], minlength=b.n)), *map(pa.array, sums)])
             miss = np.flatnonzero(~hit)
             if len(miss):
                 word = t.types[t.type_of[miss]]
@@ -442,16 +704,22 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
                 own = np.bincount(inverse, weights=of_class[miss])
                 word, one = word[one], miss[one]
                 nothing = pa.nulls(len(one), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(first[doc[one]]), nothing, pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), nothing, pa.nulls(len(one), pa.float64()), pa.array(own)], schema=target)
+                yield whole([pa.array(first[doc[one]]), nothing, pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), nothing, pa.nulls(len(one), pa.float64()), pa.array(own)])
+        yield from apart(dealer.flush())
 
-    # One pass gives both the rows of documents and those of their rarer words.
+    # One pass gives the rows of documents, those of their rarer words, and the tokens in a rest.
     scored = written(docs.mapInArrow(tidied(run), SCORED), "scored")
-    whole = scored.where("word is null").select("row", "doc_id", F.col("n").alias("n_tokens"), "known", "base", "own")
+    whole = scored.where("kind is null and word is null").select("row", "doc_id", F.col("n").alias("n_tokens"), "known", "base", "own")
     rare = scored.where("word is not null").select("row", "word", F.col("n").alias("times"), "own").join(vocabulary, "word", "left")
     seen = F.col("n").isNotNull()
     count = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(SMOOTH))
     rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(seen, F.col("times")).otherwise(0).alias("known"), (F.col("times") * count).alias("base"), F.when(seen, F.col("own") + F.col("times") * count).otherwise(F.col("times") * F.lit(float(np.log10(model.unseen)))).alias("own"))
-    both = whole.union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "own")])
+    both = whole.union(rare)
+    if paired:
+        nothing = F.lit(0).cast("long")
+        more = in_rest(scored.where("kind is not null").select(*dealt_fields.names), model)
+        both = both.union(more.select("row", F.lit(None).cast("long"), nothing, nothing, F.lit(0.0), "own"))
+    both = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "own")])
     spread = float(np.log10(model.tokens + SMOOTH * (model.types + 1)))
     return both.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(spread)).alias("base_score"), F.col("own").alias("score"))
 
@@ -464,5 +732,6 @@ def language_model(docs: DataFrame) -> DataFrame:
     unseen one.
     """
     rows = with_bytes(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    model, vocabulary = fit(rows.where(~held_out("doc_id", 10, 0)))
-    return score(rows, model, vocabulary)
+    train = rows.where(~held_out("doc_id", 10, 0))
+    model, vocabulary = fit(train)
+    return score(rows, followers(train, model) if model.tokens else model, vocabulary)
