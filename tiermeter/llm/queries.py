@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiermeter.llm import binary_output, language_model, media, mixing, ngram_join, packing, pii, quality, rules, tokens
-from tiermeter.llm.common import documents
+from tiermeter.llm import binary_output, divergence, language_model, line_dedup, media, mixing, ngram_join, packing, pii, quality, rules, tokens, vector_codes
+from tiermeter.llm.common import documents, tune
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +52,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_ngram_join, op3_packing, op4_token_counts, op5_quality, op6_surrogates, op7_language_model, op8_token_rows, op9_mixing, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(tune(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_media, op2_ngram_join, op3_packing, op4_token_counts, op5_quality, op6_surrogates, op7_language_model, op8_token_rows, op9_mixing, op10_quality_rules,
+        op11_divergence, op12_vector_codes, op13_line_dedup,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE, "op11_divergence": divergence.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
