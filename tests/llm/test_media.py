@@ -75,3 +75,20 @@ def test_clashing_kept_columns(spark):
     d = spark.createDataFrame([("a", 1, "t", bytearray(media.encode_ppm(np.zeros((2, 3, 3), np.uint8))))], "text string, height long, tile string, media binary")
     row = media.media_columns(d, "media", "text", "height", "tile").first()
     assert row.text == "a" and row.height == 2 and row.width == 3 and isinstance(row.tile, bytearray | bytes)
+
+
+@pytest.mark.parametrize("data", [
+    b"P5\n99999999999999999999 1\n255\n", b"P6\n4000000000 4000000000\n255\nabc", b"P4\n9999999999 99999999\n\0", b"P1\n1000000000 1000000000\n1", b"P3\n4000000000 4000000000\n255\n1 2 3",
+    b"P2\n1 1\n255\n" + b"9" * 30, b"P2\n2 1\n255\n1 -1", b"P2\n1 1\n255\n" + b"9" * 5000, b"P2\n2 1\n7\n1 8", b"P5\n2 1\n7\n\x01\x08", b"P1\n2 1\n0 2",
+    b"P5 -3 2 255\nabcdef", b"P5 0 2 255\n", b"P6 x 2 255\n", b"P5\n1 1\n0\na", b"P5\n1 1\n99999\na", b"P5\n1 1\n" + b"9" * 5000 + b"\na", b"P5\n2 2\n65535\nabcdef", b"P5", b"P9\n1 1\n", b"BM", b"BM" + b"\xff" * 70,
+    media.encode_bmp(np.zeros((2, 2, 3), np.uint8))[:18] + b"\xff\xff\xff\x7f" * 2 + media.encode_bmp(np.zeros((2, 2, 3), np.uint8))[26:], media.encode_bmp(np.zeros((2, 2, 3), np.uint8))[:18] + b"\0\0\0\x80" * 2 + media.encode_bmp(np.zeros((2, 2, 3), np.uint8))[26:],
+])
+def test_bad_headers_are_errors_in_their_rows(data):
+    out = media._decoded({"text": [data, media.encode_ppm(np.ones((2, 3), np.uint8))]}, (), 4)
+    assert out["error"][0] and out["width"] == [None, 3] and out["error"][1] is None
+
+
+def test_bad_headers_do_not_end_the_job(spark):
+    rows = [(b"P6\n4000000000 4000000000\n255\nabc",), (b"P2\n1 1\n255\n" + b"9" * 30,), (media.encode_ppm(np.ones((2, 3), np.uint8)),)]
+    got = media.media_columns(spark.createDataFrame(rows, "media binary")).collect()
+    assert [r.width for r in got if r.error is None] == [3] and len(got) == 3

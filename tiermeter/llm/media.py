@@ -54,20 +54,29 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise ValueError(f"maximum value {most}")
     channels = 3 if kind in (b"P3", b"P6") else 1
     shape = (height, width, 3) if channels == 3 else (height, width)
-    n = width * height * channels
+    n, row = width * height * channels, (width + 7) // 8
+    # A sample has at least one byte in plain forms; nothing is made before the bytes are known to be there.
+    needed = row * height if kind == b"P4" else n * (2 if most > 255 and kind in (b"P5", b"P6") else 1)
+    if min(width, height) < 1 or needed > len(data) - at - (kind in (b"P4", b"P5", b"P6")):
+        raise ValueError(f"{width} x {height} samples are not there")
     if kind == b"P4":
-        row = (width + 7) // 8
-        bits = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
+        bits = np.frombuffer(data, np.uint8, needed, at + 1).reshape(height, row)
         return (1 - np.unpackbits(bits, axis=1)[:, :width]) * np.uint8(255)
     if kind == b"P1":
-        bits = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:]), np.uint8)[:n] - 48
-        return ((1 - bits) * np.uint8(255)).reshape(shape)
-    if kind in (b"P2", b"P3"):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], dtype=np.int64)
+        flat = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n], np.uint8) - 48
+    elif kind in (b"P2", b"P3"):
+        flat = [int(x) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split(None, n)[:n]]
+        if flat and not 0 <= min(flat) <= max(flat) <= most:
+            raise ValueError("a sample is out of range")
+        flat = np.array(flat, dtype=np.int64)
     else:
         flat = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)
     if len(flat) != n:
         raise ValueError("samples are missing")
+    if flat.max() > most:
+        raise ValueError("a sample is out of range")
+    if kind == b"P1":
+        return ((1 - flat) * np.uint8(255)).reshape(shape)
     if most != 255:
         flat = (flat.astype(np.int64) * 255 + most // 2) // most
     return flat.astype(np.uint8, copy=False).reshape(shape)
@@ -80,6 +89,8 @@ def _bmp(data: bytes) -> np.ndarray:
         raise ValueError(f"BMP with {bits} bits, compression {packed}")
     up, height = height > 0, abs(height)
     row = (width * bits + 31) // 32 * 4
+    if min(width, height) < 1 or row * height > len(data) - begin:
+        raise ValueError(f"{width} x {height} pixels are not there")
     raw = np.frombuffer(data, np.uint8, row * height, begin).reshape(height, row)[:: -1 if up else 1]
     if bits == 8:
         (used,) = struct.unpack_from("<I", data, 46)
@@ -171,7 +182,8 @@ OUTPUTS = ("height", "width", "samples", "tile", "dhash", "error")
 def media_columns(df: DataFrame, media: str = "media", *keep: str, tile: int = TILE) -> DataFrame:
     """Decode a binary column: ``height``, ``width``, ``samples``, ``tile`` (NPY), ``dhash`` and ``error``.
 
-    Bytes that can't be decoded, and nulls, give nulls and an ``error``. A kept
+    Bytes that can't be decoded, and nulls, give nulls and an ``error``: sizes
+    are held against the bytes before an array is made. A kept
     column called like one of these gives way to it.
     """
     keep = tuple(c for c in keep if c not in OUTPUTS)
@@ -190,7 +202,7 @@ def _decoded(columns: dict[str, list], keep: tuple[str, ...], tile: int) -> dict
                 raise ValueError("null")
             pixels = decode(data)
             rows.append((pixels.shape[0], pixels.shape[1], pixels.tobytes(), npy(area_resize(pixels, tile, tile)), f"{difference_hash(pixels):016x}", None))
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:
             rows.append((None, None, None, None, None, str(e)))
     for name, column in zip(OUTPUTS, zip(*rows, strict=True) if rows else [()] * 6, strict=True):
         out[name] = list(column)
