@@ -5,8 +5,10 @@ and letters are permuted within their script by a keyed Feistel network over the
 entity's own mixed-radix number space, so different entities of one format can't
 meet, and the same entity is the same everywhere. Names are spelt from syllables
 of their script with an ending of their gender. A name is known by a form of
-address beside it; its document's other mentions then follow, and names that a
-document never gives a form of address stay. A person's name is one in a document
+address beside it (with initials, particles, in capitals, each part of a double
+name); its document's other mentions then follow, and names that a document never
+gives a form of address stay, as do addresses in streets. An initial becomes that
+of a given name's surrogate where the document has one. A person's name is one in a document
 whatever the title: the gender comes from any title of the name there, else from
 one of the surname's, else from the rest of the corpus.
 
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiermeter.llm.common import arrow_schema, tidied, written
+from tiermeter.llm.graph import hot_join
 
 #: The key of samples and tests; a run over real data sets its own, as an argument or in the session.
 KEY, KEY_SETTING = b"surrogates of this corpus", "spark.tiermeter.pii.key"
@@ -55,25 +58,38 @@ NO_NAMES = ("皆", "客", "奥", "神", "何")
 # Domains that are reserved for examples.
 RESERVED = ("example.com", "example.org", "example.net", "example", "test", "invalid", "localhost")
 
+# Words within surnames that aren't names themselves, and names of months with the words that tell them from people.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "das", "du", "la", "le", "ter", "ten", "zu", "zur", "zum", "af", "av", "bin", "ibn", "bint", "al", "el", "y")
+MONTHS = ("january", "march", "april", "may", "june", "july", "august")
+BEFORE_MONTHS = ("in", "since", "until", "till", "by", "of", "last", "next", "this", "every", "each", "early", "late", "mid", "during", "from", "before", "after")
+
 _GENDER = {w: "m" for w in MALE} | {w: "f" for w in FEMALE} | {w: "u" for w in EITHER}
 _TITLES = {w.lower() for w in _GENDER}
+#: In capitals, two letters that are other words too need their period.
+_GENDER |= {w.upper(): g for w, g in _GENDER.items() if w.isascii()}
+_WITH_PERIOD = ("MS", "DR")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LETTER = r"[^\W\d_]"
 PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]*[\w+%-]@[\w-]+(?:\.[\w-]+)+")),
-    ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{8,})")),
+    ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<it>[^\s\"',;]{8,})")),
     ("secret", re.compile(r"\b(?:(?=[0-9a-f]*\d)[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,})\b")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?\b")),
     ("card", re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)")),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
+    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?i:\bssn|\bsocial security(?: number| no\.?)?)[ :#]{1,3}(?P<it>\d{9})(?!\d)")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:]|\.\d)")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{2,5}){1,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])(?<!\d )\d{3}([ .-])\d{3}\1\d{4}(?![\d-])(?! \d)")),
 )
 _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
-NAMES = re.compile(rf"\b((?:(?:{_TITLE})(?:\.|\b)[ \t]+)+)({_LETTER}[\w'’-]*(?:[ \t]+{_LETTER}[\w'’-]+){{0,2}})")
+_SPACE = re.compile(r"[ \t]+")
+FORMS = re.compile(rf"\b((?:(?:{_TITLE})(?:\.|\b)[ \t]+)+)")
+#: What may follow a form of address: initials before a letter, or a word.
+INITIALS = re.compile(rf"(?:{_LETTER}(?:\.[ \t]*|[ \t]+))+(?={_LETTER})")
+NAME_WORD = re.compile(rf"{_LETTER}[\w'’-]*")
+MOST_NAMES, MOST_PARTICLES = 3, 3
 NAMES_BEFORE = re.compile(rf"([{HAN_SURNAMES}][一-龥]{{1,2}}?)(先生|女士|小姐|太太)|(?<![一-龥])([一-龥]{{1,4}}?)(さん|様|氏)|(?<![ァ-ヶー])([ァ-ヶー]{{2,}})(さん|様|氏)|(?<![가-힣])([{HANGUL_SURNAMES}][가-힣]{{1,2}}?) ?(씨)")
 _MAYBE = re.compile(r"[\d@]")
-_WORD = re.compile(r"[^\s]+")
 #: A word that may be a name, and its parts.
 _BARE, _PART = re.compile(r"[^\W_]+(?:[_'’-]+[^\W_]+)*"), re.compile(r"[^\W_]+")
 _POSSESSIVE = re.compile(r"['’][sS]$")
@@ -115,7 +131,7 @@ def detect(text: str) -> list[Entity]:
     if _MAYBE.search(text) or _secret_word(text.casefold()):
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
-                start, end = m.span(1) if kind == "secret" and pattern.groups else m.span()
+                start, end = m.span("it") if "it" in pattern.groupindex and m["it"] else m.span()
                 raw = text[start:end]
                 if not _free(found, start, end):
                     continue
@@ -132,15 +148,16 @@ def detect(text: str) -> list[Entity]:
         for _, words in people:
             for s, e, value in words:
                 if _free(found, s, e):
-                    insort(found, (s, e, kinds[value], value))
+                    insort(found, (s, e, kinds.get(value, "initial"), value))
         for entity in _bare_names(text, kinds):
             if _free(found, entity[0], entity[1]):
                 insort(found, entity)
     return found
 
 
-#: A mention with a form of address: the gender it tells, and start, end and value of each name, the surname last.
+#: A mention with a form of address: the gender it tells, and start, end and value of each name, the surname last. Initials come first.
 Person = tuple[str, list[tuple[int, int, str]]]
+_INITIAL = re.compile(r"\S\.")
 
 
 def _cased(c: str) -> bool:
@@ -150,18 +167,13 @@ def _cased(c: str) -> bool:
 def _people(text: str) -> list[Person]:
     out: list[Person] = []
     if any(w in text for w in _GENDER):
-        for m in NAMES.finditer(text):
-            told = [_GENDER[w] for w in re.findall(_TITLE, m.group(1))]
-            names = []
-            for w in _WORD.finditer(m.group(2)):
-                name = _POSSESSIVE.sub("", w.group().rstrip("'’-_"))
-                if _cased(name[0]) and not name[0].isupper() or name.lower() in _TITLES:
-                    break
-                names.append((m.start(2) + w.start(), m.start(2) + w.start() + len(name), name.lower()))
-                if not _cased(name[0]):  # where a name of several words ends isn't seen in scripts without case
-                    break
+        for m in FORMS.finditer(text):
+            forms = re.findall(rf"({_TITLE})(\.?)", m.group(1))
+            if all(w in _WITH_PERIOD and not period for w, period in forms):
+                continue
+            names = _names_after(text, m.end(), MOST_NAMES - forms[-1][0].isupper())
             if names:
-                out.append((next((g for g in told if g != "u"), "u"), names))
+                out.append((next((_GENDER[w] for w, _ in forms if _GENDER[w] != "u"), "u"), names))
     if any(w in text for w in AFTER):
         for m in NAMES_BEFORE.finditer(text):
             k = next(i for i in (1, 3, 5, 7) if m.group(i))
@@ -170,8 +182,43 @@ def _people(text: str) -> list[Person]:
     return out
 
 
+def _names_after(text: str, at: int, most: int) -> list[tuple[int, int, str]]:
+    """The names of the person whose form of address ends at ``at``: at most ``most``, with initials and particles among them."""
+    names: list[tuple[int, int, str]] = []
+    initials: list[tuple[int, int, str]] = []
+    waiting: list[tuple[int, int, str]] = []  # initials and particles count if a name follows
+    particles: list[tuple[int, int, str]] = []
+    while len(names) < most and len(particles) <= MOST_PARTICLES:
+        m = INITIALS.match(text, at)
+        if m and all(c.isupper() for c in m.group() if c.isalpha()):
+            waiting += [(i, i + 1, f"{text[i].lower()}.") for i in range(at, m.end()) if text[i].isalpha()]
+            at = m.end()
+        m = NAME_WORD.match(text, at)
+        if m is None:
+            break
+        name = _POSSESSIVE.sub("", m.group().rstrip("'’-_"))
+        space = _SPACE.match(text, m.end())
+        if name.lower() in PARTICLES and space and name == m.group():
+            particles.append((at, at + len(name), name.lower()))
+        elif _cased(name[0]) and not name[0].isupper() or name.lower() in _TITLES:
+            break
+        else:
+            names.append((at, at + len(name), name.lower()))
+            initials, waiting, particles = initials + waiting, [], []
+            # where a name of several words ends isn't seen in scripts without case
+            if not _cased(name[0]) or name != m.group():
+                break
+        if not space:
+            break
+        at = space.end()
+    if not names:  # a surname may look like a particle
+        names = [p for p in particles if text[p[0]].isupper()][:1]
+    return initials + names
+
+
 def _name_kinds(people: list[Person]) -> dict[str, str]:
-    """One kind for each name of a document: surname, or given with the gender that is known."""
+    """One kind for each name of a document: surname, or given with the gender that is known. Parts of double names are names too."""
+    people = [(told, [w for w in words if not _INITIAL.fullmatch(w[2])]) for told, words in people]
     surname: dict[str, bool] = {}
     gender: dict[str, str] = {}
     of_surname: dict[str, str] = {}
@@ -189,7 +236,12 @@ def _name_kinds(people: list[Person]) -> dict[str, str]:
         for _, _, value in words[:-1]:
             if words[-1][2] in of_surname:
                 gender.setdefault(value, of_surname[words[-1][2]])
-    return {v: "surname" if last else f"given-{gender.get(v, 'u')}" for v, last in surname.items()}
+    kinds = {v: "surname" if last else f"given-{gender.get(v, 'u')}" for v, last in surname.items()}
+    for v, kind in list(kinds.items()):
+        for part in _PART.findall(v):
+            if len(part) > 1 and part not in PARTICLES:
+                kinds.setdefault(part, kind)
+    return kinds
 
 
 def _bare_names(text: str, kinds: dict[str, str]) -> Iterator[Entity]:
@@ -199,7 +251,7 @@ def _bare_names(text: str, kinds: dict[str, str]) -> Iterator[Entity]:
         whole = _POSSESSIVE.sub("", m.group())
         spans = [(m.start(), whole)] if whole.lower() in kinds else [(m.start() + p.start(), p.group()) for p in _PART.finditer(m.group())]
         for s, w in spans:
-            if w.lower() in kinds and (w[0].isupper() or not _cased(w[0])):
+            if w.lower() in kinds and (w[0].isupper() or not _cased(w[0])) and not (w.lower() in MONTHS and _is_month(text, s, s + len(w))):
                 yield s, s + len(w), kinds[w.lower()], w.lower()
     unspaced = [v for v in kinds if _script(v[0]) in ("cjk", "katakana", "hangul")]
     if unspaced:  # no spaces tell where these begin
@@ -207,13 +259,19 @@ def _bare_names(text: str, kinds: dict[str, str]) -> Iterator[Entity]:
             yield m.start(), m.end(), kinds[m.group()], m.group()
 
 
+def _is_month(text: str, start: int, end: int) -> bool:
+    """Is the word at start .. end the month: after a word of time, or beside a number?"""
+    before = text[max(0, start - 16) : start].split()[-1:]
+    return bool(before) and (before[0].lower().strip("-,") in BEFORE_MONTHS or before[0].rstrip(".,")[-1:].isdigit()) or text[end : end + 2].strip().isdigit()
+
+
 def canonical(kind: str, raw: str) -> str:
     """One spelling for all mentions of an entity."""
-    if kind in ("card", "iban"):
+    if kind in ("card", "iban", "ssn"):
         return re.sub(r"[ -]", "", raw)
     if kind == "phone":
         return ("+" if raw[0] == "+" else "") + re.sub(r"\D", "", raw)
-    return raw.lower() if kind == "email" else raw
+    return raw.lower() if kind in ("email", "ipv6") else raw
 
 
 _PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -372,6 +430,8 @@ def surrogate(kind: str, value: str, draw: int = 0, key: bytes = KEY) -> str:
             host, _, top = domain.rpartition(".")
             domain = f"{permute(key, 'domain', host)}.{top}"
         return f"{local}@{domain}"
+    if kind == "ipv6":
+        return permute(key, tweak, value, hexadecimal=True) + _more(key, tweak, value, wider, _HEX)
     if kind == "secret":
         return _secret(key, tweak, value) + _more(key, tweak, value, wider, _HEX)
     digits = _more(key, tweak, value, wider, _PLAIN[0])
@@ -420,7 +480,7 @@ def _address(key: bytes, tweak: str, value: str, draw: int) -> str:
 
 def shaped(kind: str, raw: str, new: str) -> str:
     """The surrogate in the format of the mention: its separators and its case."""
-    if kind in ("card", "iban", "phone"):
+    if kind in ("card", "iban", "phone", "ssn"):
         signs = iter(new.lstrip("+"))
         return "".join(next(signs, "") if c.isalnum() else c for c in raw) + "".join(signs)
     if kind == "email":
@@ -441,10 +501,19 @@ def replaced(text: str, fixes: Fixes | None = None, key: bytes = KEY) -> tuple[s
     found = detect(text)
     if not found:
         return text, []
+    drawn = {}
+    for _, _, kind, value in found:
+        if kind != "initial" and (kind, value) not in drawn:
+            as_kind, draw = (fixes or {}).get((kind, value), (kind, 0))
+            drawn[kind, value] = surrogate(as_kind, value, draw, key)
+    given = {v[0]: new[0] for (k, v), new in sorted(drawn.items(), reverse=True) if k.startswith("given")}
     out, at = [], 0
     for start, end, kind, value in found:
-        drawn, draw = (fixes or {}).get((kind, value), (kind, 0))
-        out += [text[at:start], shaped(kind, text[start:end], surrogate(drawn, value, draw, key))]
+        if kind == "initial":
+            new = (given.get(value[0]) or permute(key, kind, value[0])).upper()
+        else:
+            new = shaped(kind, text[start:end], drawn[kind, value])
+        out += [text[at:start], new]
         at = end
     return "".join([*out, text[at:]]), [f[2] for f in found]
 
@@ -458,26 +527,31 @@ def _place(docs: DataFrame) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """Distinct (``place``, ``kind``, ``value``) of each document."""
+    """Distinct ``place``, ``kind``, ``value`` of all documents, however often a row is repeated; initials have no draws."""
     target = arrow_schema(MENTION)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, k, v) for p, t in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, v in dict.fromkeys(e[2:] for e in detect(t))]
+            rows = [(p, k, v) for p, t in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, v in dict.fromkeys(e[2:] for e in detect(t)) if k != "initial"]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
-    return _place(docs).select(F.col("__place").alias("place"), "text").mapInArrow(tidied(run), MENTION)
+    return _place(docs).select(F.col("__place").alias("place"), "text").mapInArrow(tidied(run), MENTION).distinct()
 
 
 def drawn_as(found: DataFrame) -> DataFrame:
-    """``found`` with ``drawn``: the kind, with the one gender that the corpus knows for a given name of none."""
+    """``found`` with ``drawn``: the kind, with the one gender that the corpus knows for a given name of none.
+
+    A common name is broadcast to its mentions, so none fills a task.
+    """
     drawn = F.col("kind").alias("drawn")
     if found.where("kind = 'given-u'").isEmpty():
         return found.select("*", drawn)
-    told = found.where("kind in ('given-m', 'given-f')").groupBy("value").agg(F.min("kind").alias("told"), F.max("kind").alias("other"))
-    told = told.where("told = other").select("value", "told")
-    none = found.where("kind = 'given-u'").join(told, "value", "left").select(*found.columns, F.coalesce("told", "kind").alias("drawn"))
+    known = F.when(F.col("kind") != "given-u", F.col("kind"))
+    names = found.where("kind like 'given-%'").groupBy("value").agg(F.min(known).alias("told"), F.max(known).alias("other"), F.count_if(F.col("kind") == "given-u").alias("rows"))
+    names = written(names.where("rows > 0").select("value", F.when(F.col("told") == F.col("other"), F.col("told")).alias("told"), "rows"), "genders")
+    total = names.agg(F.sum("rows")).first()[0]
+    none = hot_join(found.where("kind = 'given-u'"), names, "value", "rows", total, "inner").select(*found.columns, F.coalesce("told", "kind").alias("drawn"))
     return written(found.where("kind <> 'given-u'").select("*", drawn).union(none), "mentions")
 
 
