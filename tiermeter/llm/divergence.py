@@ -163,7 +163,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     terms = counts.where("term is not null")
     kept = written(terms.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("in_docs")).where(F.col("in_docs") >= min_docs).drop("in_docs"), "kept")
     known = written(terms.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "known")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("of_lang").alias("lang_n"))
+    langs = written(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("of_lang").alias("lang_n")), "langs")
+    n_kept = langs.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
     of_source = known.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     all_sources = counts.where("term is null").select("lang", "source").join(of_source, ["lang", "source"], "left").join(langs, "lang", "left")
@@ -176,7 +177,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     # Sources with many terms are broadcast to their counts.
     placed = hot_join(known, groups.select("lang", "source", "rows", "g", "blocks", "last_g"), ["lang", "source"], "rows", n_rows, "inner")
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block")
-    sizes = kept.join(langs.select("lang", F.ceil(F.col("v") / TERM_BLOCK).cast("int").alias("blocks")), "lang").groupBy("lang", block).agg(F.count("*").alias("size"))
+    sizes = hot_join(kept.select("lang", "term"), langs.select("lang", "v", F.ceil(F.col("v") / TERM_BLOCK).cast("int").alias("blocks")), "lang", "v", n_kept, "inner").groupBy("lang", block).agg(F.count("*").alias("size"))
     marks = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sizes, ["lang", "block"], "left")
     none = F.lit(None).cast("string").alias("term")
     columns = ["lang", "block", "source", "g", "last_g", "term", "n", "total", "of_lang", "size"]
