@@ -66,7 +66,10 @@ def test_frontier_has_no_dominated_point(spark):
 
 
 def test_isotonic_pool_and_thinning(spark):
-    assert calibrate.pool([(0.1, 1, 2), (0.2, 0, 2), (0.3, 2, 2)]) == [(0.1, 0.25), (0.2, 0.25), (0.3, 1.0)]
+    stack = []
+    for x, k in ((0.1, 1), (0.2, 0), (0.3, 2)):
+        calibrate.push(stack, [x, x, k, 2])
+    assert calibrate.knots_of(stack) == [(0.1, 0.25), (0.2, 0.25), (0.3, 1.0)]
     assert len(calibrate.thin_knots([(k / 50, k / 50) for k in range(50)], 20)) == 20
     pairs = spark.createDataFrame([(0.5, True), (0.5, False), (0.9, True)], "score double, label boolean")
     assert calibrate.auroc(pairs).first().auroc == 0.75 and calibrate.auroc(pairs.where("label")).first().auroc is None

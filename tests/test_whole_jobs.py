@@ -2,7 +2,7 @@
 
 from conftest import SF
 from tiermeter.functions import text
-from tiermeter.operators.simulate import longest_contained
+from tiermeter.operators.matching import longest_contained
 from tiermeter.plans import all_queries, curve_queries
 from tiermeter.plans.scalar_queries import said, sim_tasks
 

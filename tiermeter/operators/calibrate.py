@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiermeter.functions.exprs import piecewise
+from tiermeter.functions.intervals import reached, value_at
+from tiermeter.sources.tables import kept
 
 BINS = 10
 #: Ranges of scores that running sums are dealt to.
@@ -101,36 +106,81 @@ def measures(pairs: DataFrame, score: str = "score", label: str = "label") -> di
     return out
 
 
-def pool(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
-    """Isotonic knots (block ends) from (score, sum of labels, count) in ascending score."""
-    blocks: list[list[float]] = []
-    for x, k, n in points:
-        blocks.append([x, x, k, n])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
-            last = blocks.pop()
-            blocks[-1] = [blocks[-1][0], last[1], blocks[-1][2] + last[2], blocks[-1][3] + last[3]]
-    out: list[tuple[float, float]] = []
-    for lo, hi, k, n in blocks:
-        out += [(lo, k / n)] if lo == hi else [(lo, k / n), (hi, k / n)]
-    return out
+Block = list  # [lowest score, highest score, positive labels, rows]
+
+
+def push(stack: list[Block], block: Block) -> None:
+    """Put a block on a stack of rising means; blocks whose means don't rise are pooled, by whole numbers."""
+    stack.append(block)
+    while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+        lo, _, k, n = stack[-2]
+        _, hi, k2, n2 = stack.pop()
+        stack[-1] = [lo, hi, k + k2, n + n2]
+
+
+def knots_of(blocks: Iterable[Block]) -> list[tuple[float, float]]:
+    """Both ends of each block with its mean; one knot for a block of a single score."""
+    return [(x, k / n) for lo, hi, k, n in blocks for x in ((lo,) if lo == hi else (lo, hi))]
 
 
-#: Scores are rounded to this many decimals before pooling, which bounds what the driver sees.
-SCORE_DECIMALS = 4
+BLOCKS = "lo double, hi double, k long, n long"
+#: Ranges of scores that are pooled side by side, then the merges of their stacks.
+POOL_ROUNDS = (RANGES, 16, 1)
+#: Blocks that are sent to the rows as edges; more meet them by ranges.
+MOST_EDGES = 1 << 18
+
+
+def _pooled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The block stack of one range; its rows come in ascending order."""
+    stack: list[Block] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            push(stack, list(row))
+    for first in range(0, len(stack), 10_000):
+        columns = zip(*stack[first : first + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["lo", "hi", "k", "n"])
+
+
+def isotonic_blocks(pairs: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """``lo``, ``hi``, ``k``, ``n``: the blocks of the isotonic fit, as a written table.
+
+    Adjacent violators are pooled within ranges of scores, one task each; the
+    ranges' stacks are then merged in fewer and fewer tasks, which is exact, as
+    pooling what is pooled gives the same blocks. Scores aren't rounded. The last
+    task holds no more than the blocks that are left: steps of the map, far
+    fewer than scores unless labels rise with them throughout. Rows without a score
+    don't count; a null label is a negative one.
+    """
+    known = pairs.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    blocks = by_score(known, score, label).select(F.col("score").cast("double").alias("lo"), F.col("score").cast("double").alias("hi"), "k", "n")
+    for parts in POOL_ROUNDS:
+        dealt = blocks.repartitionByRange(parts, "lo") if parts > 1 else blocks.coalesce(1)
+        blocks = kept(dealt.sortWithinPartitions("lo").mapInArrow(_pooled, BLOCKS), "blocks")
+    return blocks
 
 
 def fit_isotonic(pairs: DataFrame, score: str = "score", label: str = "label") -> list[tuple[float, float]]:
-    """Knots of the isotonic map; at most 10,001 score values reach the driver."""
-    rounded = pairs.withColumn("__s", F.bround(F.col(score), SCORE_DECIMALS))
-    rows = by_score(rounded, "__s", label).orderBy("score").collect()
-    return pool([(r.score, r.k, r.n) for r in rows])
+    """Knots of the isotonic map; the driver gets the blocks only."""
+    return knots_of([r.lo, r.hi, r.k, r.n] for r in isotonic_blocks(pairs, score, label).orderBy("lo").collect())
 
 
 def isotonic_table(pairs: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """``score`` and ``fitted`` for each distinct score, as the max-min of block means."""
-    knots = fit_isotonic(pairs, score, label)
-    per = by_score(pairs.withColumn("__s", F.bround(F.col(score), SCORE_DECIMALS)), "__s", label)
-    return per.select("score", step_map(F.col("score"), knots).alias("fitted"))
+    """``score`` and ``fitted`` for each distinct score: the mean of its block."""
+    blocks = isotonic_blocks(pairs, score, label)
+    per = by_score(pairs.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))), score, label).select(F.col("score").cast("double").alias("score"))
+    if blocks.count() <= MOST_EDGES:
+        rows = blocks.orderBy("lo").collect()
+        return per.select("score", value_at(reached(F.col("score"), [r.lo for r in rows]) - 1, [r.k / r.n for r in rows]).alias("fitted"))
+    # Blocks and scores meet in ranges; what a range starts in comes from the last block before it.
+    place = F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.floor(F.col("score") * RANGES))).cast("int").alias("part")
+    starts = blocks.select(F.col("lo").alias("score"), (F.col("k") / F.col("n")).alias("mean")).select("score", "mean", place)
+    both = starts.withColumn("row", F.lit(0)).unionByName(per.select("score", F.lit(None).cast("double").alias("mean"), place, F.lit(1).alias("row")))
+    last = starts.groupBy("part").agg(F.max_by("mean", "score").alias("mean"))
+    before = F.last("mean", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # RANGES rows
+    parts = pairs.sparkSession.range(RANGES).select(F.col("id").cast("int").alias("part")).join(last, "part", "left").select("part", before.alias("before"))
+    own = F.last("mean", ignorenulls=True).over(Window.partitionBy("part").orderBy("score", "row").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("own", own).where("row = 1").join(F.broadcast(parts), "part")
+    return met.select("score", F.coalesce("own", "before").alias("fitted"))
 
 
 def step_map(x: Column, knots: list[tuple[float, float]]) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiermeter.functions.exprs import attempt_cost, finite
+from tiermeter.functions.intervals import reached, value_at
 from tiermeter.operators.calibrate import risk_coverage, running
 from tiermeter.sources.tables import kept
 
@@ -79,8 +80,7 @@ def joint_cap(gated: int, most: int = MOST_POINTS) -> int:
 
 def bucket(score: Column, grid: Sequence[float]) -> Column:
     """How many thresholds of the ascending grid the score reaches; none for null."""
-    reached = F.filter(F.array(*[F.lit(float(t)) for t in grid]), lambda t: t <= score)
-    return F.coalesce(F.when(score.isNotNull(), F.size(reached)), F.lit(0))
+    return reached(score, grid)
 
 
 def points(rows: DataFrame, grids: Sequence[Sequence[float]]) -> DataFrame:
@@ -137,7 +137,7 @@ def points(rows: DataFrame, grids: Sequence[Sequence[float]]) -> DataFrame:
         return per_tier
 
     add = lambda cs: reduce(lambda x, y: x + y, cs)
-    columns = [F.element_at(F.array(*[F.lit(float(t)) for t in g]), F.col(d) + 1).alias(f"t{j}") for j, (d, g) in enumerate(zip(dims, grids, strict=True), start=1)]
+    columns = [value_at(F.col(d), g).alias(f"t{j}") for j, (d, g) in enumerate(zip(dims, grids, strict=True), start=1)]
     n = F.col("n_0")
     counts, right = served("n"), served("right")
     columns += [n.alias("n"), add(right).alias("correct"), (n - counts[0]).alias("escalated"), *[c.alias(f"served{j}") for j, c in enumerate(counts, start=1)], (add(counts[:-1]) - add(right[:-1])).alias("skipped_wrong")]

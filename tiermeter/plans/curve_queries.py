@@ -87,6 +87,17 @@ def pav_isotonic(spark, d):
     return calibrate.isotonic_table(pairs(spark, d)).select("score", r9("fitted").alias("fitted"))
 
 
+@query(f"""WITH {SCORED_SQL}, s AS (SELECT score + event_id % 23 * 1e-9 AS score, fast_ok FROM scored),
+g AS (SELECT row_number() OVER (ORDER BY score) AS i, score, sum(count(*)) OVER (ORDER BY score) AS cn, sum(count(*) FILTER (WHERE fast_ok)) OVER (ORDER BY score) AS ck, count(*) AS n, count(*) FILTER (WHERE fast_ok) AS k FROM s GROUP BY score),
+low AS (SELECT a.i AS lo, b.i AS hi, min((b.ck - a.ck + a.k)::DOUBLE / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS mean FROM g a JOIN g b ON a.i <= b.i),
+top AS (SELECT hi, max(mean) AS fitted FROM low GROUP BY hi)
+SELECT g.score, round(fitted, 9) AS fitted FROM g JOIN top ON g.i = top.hi""")
+def pav_fine_scores(spark, d):
+    """The isotonic fit of scores with nine decimals, by the max-min identity too."""
+    fine = pairs(spark, d).withColumn("score", F.col("score") + F.col("event_id") % 23 * F.lit(1e-9))
+    return calibrate.isotonic_table(fine).select("score", r9("fitted").alias("fitted"))
+
+
 @query(f"""WITH {FACTS_SQL} SELECT event_id, round(CASE WHEN score <= 0.2e0 THEN 0.1e0 WHEN score <= 0.6e0 THEN 0.1e0 + (score - 0.2e0) * 1.25e0 WHEN score <= 0.9e0 THEN 0.6e0 + (score - 0.6e0) * 1.0e0 ELSE 0.9e0 END, 9) AS mapped FROM facts WHERE score IS NOT NULL""")
 def piecewise_map(spark, d):
     f = facts(table(spark, d, "events")).where("score is not null")
@@ -149,6 +160,20 @@ def sweep_points_3tier(spark, d):
     return p.select("t1", "t2", "n", "correct", "served1", "served2", "served3", F.round(F.col("cost_per_task") * F.col("n")).cast("long").alias("spent"))
 
 
+#: Nearly 20,000 points, the most that a sweep takes.
+WIDE = [k * 0.72 for k in range(140)] + [100.01]
+
+
+@query(f"""WITH {TIERS3_SQL}, g AS (SELECT i * 0.72e0 AS t FROM range(140) r(i) UNION ALL SELECT 100.01e0),
+c AS (SELECT s1, s2, count(*) AS m, count(*) FILTER (WHERE ok1) AS o1, count(*) FILTER (WHERE ok2) AS o2, count(*) FILTER (WHERE ok3) AS o3 FROM items GROUP BY s1, s2)
+SELECT a.t AS t1, b.t AS t2, CAST(sum(m) AS BIGINT) AS n, CAST(sum(CASE WHEN s1 >= a.t THEN o1 WHEN s2 >= b.t THEN o2 ELSE o3 END) AS BIGINT) AS correct,
+  CAST(sum(CASE WHEN s1 >= a.t THEN m ELSE 0 END) AS BIGINT) AS served1, CAST(sum(CASE WHEN s1 < a.t AND s2 >= b.t THEN m ELSE 0 END) AS BIGINT) AS served2 FROM c, g a, g b GROUP BY a.t, b.t""")
+def sweep_points_wide(spark, d):
+    """All pairs of 141 thresholds for two gated tiers."""
+    p = sweep.points(tiers3(table(spark, d, "lineitem")), [WIDE, WIDE])
+    return p.select("t1", "t2", "n", "correct", "served1", "served2")
+
+
 @query(f"""WITH {SCORED_SQL}, s AS (SELECT DISTINCT score FROM scored), r AS (SELECT score, row_number() OVER (ORDER BY score) AS rank, count(*) OVER () AS n FROM s),
 keep AS (SELECT DISTINCT CAST(round_even(i * ((SELECT max(n) FROM r) - 1) / 20.0e0, 0) AS BIGINT) + 1 AS rank FROM range(21) g(i))
 SELECT score AS threshold FROM r JOIN keep USING (rank) UNION SELECT 0.0e0 UNION SELECT 1.0001e0""")

@@ -12,7 +12,8 @@ from tiermeter.functions.sampling import inclusion_prob as band_prob
 from tiermeter.functions.sampling import uniform_draw
 from tiermeter.operators import audit
 from tiermeter.operators.cascade import AuditPolicy, Tier, route
-from tiermeter.operators.simulate import Answerer, answers, longest_contained, self_consistency as vote_share
+from tiermeter.operators.matching import longest_contained
+from tiermeter.operators.simulate import Answerer, answers, self_consistency as vote_share
 from tiermeter.plans.adapters import FACTS_SQL, REPLIES_SQL, decisions, facts, replies, table
 from tiermeter.plans.registry import query, r9
 from tiermeter.sources import calls, ledger, tasks
@@ -368,6 +369,14 @@ def failure_streak(spark, d):
     return streak(e)
 
 
+@query("""WITH m AS (SELECT d.doc_id AS request_id, b.item_id AS task_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(b.text) DESC, b.item_id DESC) AS n
+FROM documents d JOIN benchmark b ON contains(d.text, b.text)) SELECT request_id, task_id FROM m WHERE n = 1""")
+def prompts_in_documents(spark, d):
+    """For each document the longest benchmark text that it holds."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("request"))
+    return longest_contained(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("prompt")))
+
+
 @query("""WITH r AS (SELECT item_id AS request_id, 'Please answer: ' || text || ' Thanks.' AS request FROM benchmark), t AS (SELECT item_id AS task_id, text AS prompt FROM benchmark),
 m AS (SELECT request_id, task_id, row_number() OVER (PARTITION BY request_id ORDER BY length(prompt) DESC, task_id DESC) AS n FROM r JOIN t ON contains(request, prompt)) SELECT request_id, task_id FROM m WHERE n = 1""")
 def prefix_match_topk(spark, d):
