@@ -6,11 +6,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tiermeter.functions.exprs import attempt_cost, finite, served_attempt
 from tiermeter.functions.stats import Estimate, WeightedSums, audits_to_resolve, check_level, status_of, weighted_mean, weighted_proportion, wilson
+from tiermeter.operators import cube
 from tiermeter.sources.tables import kept
 
 # Fixed values.
@@ -29,6 +30,11 @@ def tier_order(decisions: DataFrame) -> tuple[list[str], str | None]:
         F.array_distinct(F.transform(F.filter("attempts", lambda a: a["threshold"].isNull()), lambda a: a["tier"])).alias("finals"),
         F.col("shadow.audit_tier").alias("audit"),
     ).distinct().collect()  # a row for each kind of path through the tiers
+    return order_of(seen)
+
+
+def order_of(seen: Sequence) -> tuple[list[str], str | None]:
+    """Tiers in order and the final tier, from distinct (``tiers``, ``finals``, ``audit``)."""
     order: list[str] = []
     for path in sorted({tuple(r.tiers or ()) for r in seen}, key=lambda p: (-len(p), p)):
         for i, name in enumerate(path):
@@ -82,9 +88,12 @@ def strata(found: DataFrame) -> DataFrame:
     about equal numbers of cases. Rounding bounds the rows that the window sees
     to a million, whatever the number of cases.
     """
-    keys = found.where("pi is not null").groupBy(F.bround("pi", 6).alias("key")).agg(
+    return _strata(found.where("pi is not null").groupBy(F.bround("pi", 6).alias("key")).agg(
         F.count("*").alias("members"), F.count_if(F.col("state").isin(*DRAWN)).alias("selected"), F.count_if(F.col("state") == "audited").alias("completed"), F.sum("pi").alias("expected")
-    )
+    ))
+
+
+def _strata(keys: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     grouped = keys.withColumn("n_keys", F.count("*").over(everything)).withColumn("before", F.coalesce(F.sum("members").over(before), F.lit(0))).withColumn("total", F.sum("members").over(everything))
@@ -220,41 +229,58 @@ class Summary:
         return deep(self.__dict__) | {"n_audited": self.n_audited}
 
 
+def cells(decisions: DataFrame, edges: Sequence[float] = EDGES) -> DataFrame:
+    """The audit's additive cells, by one scan of ``decisions``; ``summarize_cells`` takes them, merged or not."""
+    return cube.cells(decisions, bin_of(F.col("score"), edges))
+
+
 def summarize(decisions: DataFrame, tolerance: float | None = None, level: float = 0.95, edges: Sequence[float] = EDGES) -> Summary:
-    """Everything about one run's audit; each figure comes from a few aggregates.
+    """Everything about one run's audit, from cells that one scan makes.
 
     All decisions must be of one run. Failed decisions are left out of skipped
     cases and tier shares but count for escalation and cost.
     """
+    return summarize_cells(kept(cells(decisions, edges), "cells"), tolerance, level, edges)
+
+
+def summarize_cells(cells: DataFrame, tolerance: float | None = None, level: float = 0.95, edges: Sequence[float] = EDGES) -> Summary:
+    """The summary of a written table of cells, made with the same ``edges``."""
     check_level(level)
     check_edges(edges)
     if tolerance is not None and not 0 <= tolerance <= 1:
         raise ValueError("tolerance must lie in [0, 1]")
-    tiers, final = tier_order(decisions)
-    eq = F.col("correct.equivalent")
-    head = decisions.agg(
-        F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if("escalated").alias("escalated"), F.count(eq).alias("graded"), F.count_if(eq).alias("right"),
-        F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("cost_n"), F.sum("audit_cost_usd").alias("audit"), F.count("audit_cost_usd").alias("audit_n"),
-        F.collect_set("run_id").alias("runs"), F.collect_set("mode").alias("modes"), F.mode(F.when(F.col("mode") != "eval", F.col("shadow.audit_tier"))).alias("audit_tier"),
-    ).first()
-    if len(head.runs) > 1:
-        raise ValueError(f"decisions of several runs: {', '.join(sorted(head.runs)[:5])}")
-    mode = head.modes[0] if len(head.modes) == 1 else "mixed" if head.modes else "n/a"
-    reference = final if mode == "eval" or head.audit_tier is None else head.audit_tier
-    share = {r.final_tier: r["count"] for r in decisions.where("error is null").groupBy("final_tier").count().collect()}
-
-    found = kept(cases(decisions, final), "cases")
-    table = strata(found)
-    grouped = weighted_cases(found, table).withColumn("bin", bin_of(F.col("score"), edges))
-    wrong = F.col("wrong")
-    per = grouped.groupBy("bin", "stratum").agg(
-        F.count("*").alias("cases"), F.count(wrong).alias("graded"), F.count_if(wrong).alias("wrong"), F.struct(*weighted_sums(F.col("disagree"), F.col("weight"))).alias("d"),
-        F.struct(*weighted_sums(F.col("ref_wrong"), F.col("weight"))).alias("r"), *[F.count_if(F.col("state") == s).alias(f"s_{s}") for s in (*DRAWN, "not-selected", "invalid", "unknown")], F.min("pi").alias("least_pi"), F.count("pi").alias("with_pi"),
+    add = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "escalated", "graded", "right", "cost_n", "audit_n")]
+    heads = cells.where("kind = 'case'").groupBy("run_id", "mode", "failed", "final_tier", "tiers", "finals", F.col("audit_tier").alias("audit")).agg(*add, F.sum("cost").alias("cost"), F.sum("audit").alias("audit_cost")).collect()  # a row for each kind of path through the tiers
+    head = {c: sum(r[c] for r in heads) for c in ("n", "escalated", "graded", "right", "cost_n", "audit_n")}
+    n, failures, run_ids, modes = head["n"], sum(r.n for r in heads if r.failed), {r.run_id for r in heads}, {r["mode"] for r in heads}
+    cost, audit_cost = (math.fsum(r[c] for r in heads if r[c] is not None) if any(r[c] is not None for r in heads) else None for c in ("cost", "audit_cost"))
+    if len(run_ids) > 1:
+        raise ValueError(f"decisions of several runs: {', '.join(sorted(map(str, run_ids))[:5])}")
+    mode = next(iter(modes)) if len(modes) == 1 else "mixed" if modes else "n/a"
+    tiers, final = order_of(heads)
+    audits: dict[str, int] = {}
+    share: dict[str, int] = {}
+    for r in heads:
+        if r.audit is not None and r["mode"] != "eval":
+            audits[r.audit] = audits.get(r.audit, 0) + r.n
+        if not r.failed:
+            share[r.final_tier] = share.get(r.final_tier, 0) + r.n
+    reference = final if mode == "eval" or not audits else max(sorted(audits), key=audits.__getitem__)
+
+    found = cube.cases(cells, final)
+    counts = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    table = _strata(found.where("pi is not null").groupBy(F.col("pi").alias("key")).agg(F.sum("n").alias("members"), counts(F.col("state").isin(*DRAWN)).alias("selected"), counts(F.col("state") == "audited").alias("completed"), F.sum("prob").alias("expected")))
+    layer = ("stratum", "low", "high", "members", "selected", "completed", "expected")
+    grouped = found.join(table, F.col("pi") == F.col("key"), "left")
+    rate = F.col("completed") / F.col("selected")
+    per = grouped.groupBy("bin", *layer).agg(
+        F.sum("n").alias("cases"), counts(F.col("wrong").isNotNull()).alias("graded"), counts(F.col("wrong")).alias("wrong"), F.struct(*cube.weighted(F.col("disagree"), rate)).alias("d"),
+        F.struct(*cube.weighted(F.col("ref_wrong"), rate)).alias("r"), *[counts(F.col("state") == s).alias(f"s_{s}") for s in (*DRAWN, "not-selected", "invalid", "unknown")], F.min(1 / F.col("w_max")).alias("least_pi"), counts(F.col("pi").isNotNull()).alias("with_pi"),
     )
     rows = [r.asDict(recursive=True) for r in per.collect()]  # bins x strata
-    layers = table.select("stratum", "low", "high", "members", "selected", "completed", "expected").distinct().collect()
-    states = {s: n for s in (*DRAWN, "not-selected", "invalid", "unknown") if (n := sum(r[f"s_{s}"] for r in rows))}
-    n, n_skipped = head.n, sum(r["cases"] for r in rows)
+    layers = [Row(**dict(zip(layer, x, strict=True))) for x in sorted({tuple(r[c] for c in layer) for r in rows if r["stratum"] is not None})]
+    states = {s: k for s in (*DRAWN, "not-selected", "invalid", "unknown") if (k := sum(r[f"s_{s}"] for r in rows))}
+    n_skipped = sum(r["cases"] for r in rows)
     n_audited, graded, bad = states.get("audited", 0), sum(r["graded"] for r in rows), sum(r["wrong"] for r in rows)
     sums = add_sums([r["d"] for r in rows])
     refs = add_sums([r["r"] for r in rows])
@@ -265,8 +291,8 @@ def summarize(decisions: DataFrame, tolerance: float | None = None, level: float
     with_pi = sum(r["with_pi"] for r in rows)
     lost = sum(s.members for s in layers if not s.completed)
     sparse = [s for s in layers if len(layers) > 1 and s.members / with_pi >= SPARSE_SHARE and s.completed < SPARSE_AUDITS]
-    if head.errors:
-        notes.append(f"{head.errors} decisions failed and are left out of skipped cases and tier shares.")
+    if failures:
+        notes.append(f"{failures} decisions failed and are left out of skipped cases and tier shares.")
     if not n:
         notes.append("There are no decisions.")
     elif not n_skipped:
@@ -309,11 +335,9 @@ def summarize(decisions: DataFrame, tolerance: float | None = None, level: float
     bins = [one_bin(f"[{lo:.2f}, {hi:.2f}{']' if i == len(edges) - 2 else ')'}", lo, hi, [r for r in rows if r["bin"] == i]) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
     unscored = [r for r in rows if r["bin"] is None]
 
-    per_task = head.cost / head.cost_n if head.cost_n else None
-    costs = reference_costs(decisions, final, reference)
-    c, w = F.col("cost"), F.col("weight")
-    s = costs.where("cost is not null").agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.sum(w * c).alias("wx"), F.sum(w * w * c).alias("w2x"), F.sum(w * w * c * c).alias("w2x2"), (F.min(w) == F.max(w)).alias("equal"), F.stddev_samp(c).alias("sd")).first()
-    slow = weighted_mean(s.n, s.w, s.w2, s.wx, s.w2x, s.w2x2, s.equal, s.sd, level)
+    per_task = cost / head["cost_n"] if head["cost_n"] else None
+    s = cube.reference_cost(cells, final, reference)
+    slow = weighted_mean(s["n"], s["w"], s["w2"], s["wx"], s["w2x"], s["w2x2"], s["equal"], s["sd"], level)
     if slow and mode != "eval" and (states.get("none") or states.get("invalid")):
         slow = None
         notes.append("Some skipped cases have no usable inclusion probability, so the reference tier's cost can't be carried over to the run.")
@@ -322,11 +346,11 @@ def summarize(decisions: DataFrame, tolerance: float | None = None, level: float
         save = lambda a: None if a is None or a <= 0 else 1 - per_task / a
         savings = replace(slow, value=save(slow.value), lo=save(slow.lo), hi=save(slow.hi), method="ratio-approx")
     return Summary(
-        run_id=head.runs[0] if head.runs else None, mode=mode, n_decisions=n, n_errors=head.errors, n_skipped=n_skipped, states=states, escalation_rate=wilson(head.escalated, n, level), tier_share=share,
+        run_id=next(iter(run_ids), None), mode=mode, n_decisions=n, n_errors=failures, n_skipped=n_skipped, states=states, escalation_rate=wilson(head["escalated"], n, level), tier_share=share,
         tiers=tiers, final_tier=final, reference_tier=reference, disagreement=disagreement, disagreement_unweighted=wilson(sums.k, sums.n, level) if n_audited else None, skipped_error=skipped_error,
-        audit_tier_error=weighted_proportion(refs, level, finite=refs.n == n_audited) if refs.n else None, served_accuracy=wilson(head.right, head.graded, level) if head.graded else None,
+        audit_tier_error=weighted_proportion(refs, level, finite=refs.n == n_audited) if refs.n else None, served_accuracy=wilson(head["right"], head["graded"], level) if head["graded"] else None,
         expected_wrong_skipped=expected, expected_wrong_source=source if expected else None, bins=bins, no_score_bin=one_bin("no score", math.nan, math.nan, unscored) if unscored else None,
-        cost_serving=head.cost, cost_audit=head.audit, cost_per_task=per_task, audit_overhead=head.audit / head.cost if head.audit is not None and head.cost else None, n_unknown_cost=n - head.cost_n, n_unknown_audit_cost=n - head.audit_n,
+        cost_serving=cost, cost_audit=audit_cost, cost_per_task=per_task, audit_overhead=audit_cost / cost if audit_cost is not None and cost else None, n_unknown_cost=n - head["cost_n"], n_unknown_audit_cost=n - head["audit_n"],
         est_all_slow_cost_per_task=slow, est_savings=savings, tolerance=tolerance, status=status, status_metric=metric_name if status != "no-data" else None,
         audit_only_status=status_of(disagreement, tolerance, bool(sparse)) if metric_name == "skipped_error" and tolerance is not None and disagreement else None,
         audits_to_resolve=more, tasks_to_resolve=tasks, n_graded_skipped=graded, n_unrepresented=lost, sparse_strata=len(sparse), level=level, notes=notes,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tiermeter.functions import estimators, text
 from tiermeter.operators.simulate import Answerer
-from tiermeter.sources.calls import RetryPolicy, function_calls
+from tiermeter.sources.calls import IN_FLIGHT, RetryPolicy, function_calls
 from tiermeter.sources.ledger import redacted
 
 
@@ -77,13 +77,14 @@ def named_function(path: str) -> Callable[[str], str]:
 class Calls:
     """A backend that calls a function or program for each prompt, and reads answer and score from its reply."""
 
-    def __init__(self, call: Callable[[str], str], estimator: str | dict | None = None, extractor: str | dict | None = None, workers: int = 8, attempts: int = 1, input_price: float = 0.0, output_price: float = 0.0):
+    def __init__(self, call: Callable[[str], str], estimator: str | dict | None = None, extractor: str | dict | None = None, workers: int = 8, attempts: int = 1, input_price: float = 0.0, output_price: float = 0.0, flight: int = IN_FLIGHT, log: str | None = None):
         self.call, self.workers, self.retries = call, workers, RetryPolicy(attempts)
+        self.flight, self.log = flight, log
         self.score, self.extractor = estimators.estimator(estimator), text.extractor(extractor)
         self.prices = (input_price, output_price)
 
     def __call__(self, tasks: DataFrame) -> DataFrame:
-        got = function_calls(tasks, self.call, self.workers, self.retries)
+        got = function_calls(tasks, self.call, self.workers, self.retries, self.flight, self.log)
         pick = self.extractor
         answer = F.pandas_udf(lambda s: s.map(pick), "string")(F.col("text"))
         got = got.withColumn("answer", answer)
@@ -120,5 +121,5 @@ def fingerprint(kind: str, options: dict | None = None) -> str:
     As the ``backend`` of a request's key, it keeps a cache from serving another
     configuration's answers.
     """
-    same = {k: v for k, v in redacted(options or {}).items() if k not in ("workers", "attempts", "timeout_s", "input_price", "output_price", "latency_s")}
+    same = {k: v for k, v in redacted(options or {}).items() if k not in ("workers", "attempts", "flight", "log", "timeout_s", "input_price", "output_price", "latency_s")}
     return hashlib.sha256(json.dumps([kind, same], sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
