@@ -10,12 +10,13 @@ from tiermeter.operators.simulate import Answerer, wrong_options
 from tiermeter.plans.adapters import decisions
 from tiermeter.sources import calls, tasks
 from tiermeter.sources.ledger import Ledger, redacted
+from tiermeter.sources.tables import kept
 from tiermeter.streaming.runner import Limits, Runner, Stopped, live_estimate, windowed_disagreement
 
 
 @pytest.fixture(scope="module")
 def served(spark):
-    return decisions(spark.read.parquet(f"{SF}/events.parquet"))
+    return kept(decisions(spark.read.parquet(f"{SF}/events.parquet")), "decisions")
 
 
 def sim(spark, n=120):
@@ -31,7 +32,7 @@ def test_summary(spark, served):
     assert sum(s.states.values()) == s.n_skipped and s.disagreement.lo <= s.disagreement.value <= s.disagreement.hi
     assert sum(b.n_cases for b in s.bins) + (s.no_score_bin.n_cases if s.no_score_bin else 0) == s.n_skipped
     assert json.dumps(s.to_dict())
-    e = audit.summarize(decisions(spark.read.parquet(f"{SF}/events.parquet"), "eval"), tolerance=0.1)
+    e = audit.summarize(kept(decisions(spark.read.parquet(f"{SF}/events.parquet"), "eval"), "decisions"), tolerance=0.1)
     assert e.states.get("not-selected") is None and e.disagreement.n == e.n_audited
     assert audit.summarize(served.limit(0)).status == "no-data"
     with pytest.raises(ValueError, match="several runs"):
@@ -101,7 +102,7 @@ def test_deferred_audits_equal_inline_ones(spark, tmp_path):
     run.process(sim(spark))
     assert book.pending_audits("r").count() == run.finish_audits(difficulty=(F.regexp_extract("task.id", r"(\d+)", 1).cast("int") % 6).cast("double"))
     assert book.pending_audits("r").count() == 0
-    inline = route(sim(spark), TIERS, "r", audit=AuditPolicy(rate=0.5))
+    inline = kept(route(sim(spark), TIERS, "r", audit=AuditPolicy(rate=0.5)), "decisions")
     key = lambda d: {r.task.id: (r.shadow and (r.shadow.status, r.shadow.agreement and r.shadow.agreement.equivalent), round(r.audit_cost_usd, 12)) for r in d.collect()}
     assert key(book.decisions("r")) == key(inline)
     assert live_estimate(book.decisions("r"), "slow").n == audit.summarize(inline).n_audited

@@ -38,7 +38,7 @@ def same(a, b, at=""):
 
 @pytest.mark.parametrize("mode", ["serve", "eval"])
 def test_cells_of_two_halves_give_the_summary_of_the_whole(spark, mode):
-    d = decisions(spark.read.parquet(f"{SF}/events.parquet"), mode)
+    d = kept(decisions(spark.read.parquet(f"{SF}/events.parquet"), mode), "decisions")
     whole = audit.summarize(d, 0.1)
     halves = [kept(audit.cells(d.where(F.col("seq") % 2 == k)), "cells") for k in (0, 1)]
     merged = kept(cube.merged(*halves), "cells")
@@ -48,7 +48,7 @@ def test_cells_of_two_halves_give_the_summary_of_the_whole(spark, mode):
 
 
 def test_cells_are_all_that_a_summary_reads(spark, tmp_path):
-    d = decisions(spark.read.parquet(f"{SF}/events.parquet"))
+    d = kept(decisions(spark.read.parquet(f"{SF}/events.parquet")), "decisions")
     d.write.parquet(f"file://{tmp_path}/decisions")
     made = audit.cells(spark.read.parquet(f"file://{tmp_path}/decisions"))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
@@ -58,7 +58,7 @@ def test_cells_are_all_that_a_summary_reads(spark, tmp_path):
 
 
 def test_weighted_sums_of_cells_are_those_of_cases(spark):
-    d = decisions(spark.read.parquet(f"{SF}/events.parquet"))
+    d = kept(decisions(spark.read.parquet(f"{SF}/events.parquet")), "decisions")
     s = audit.summarize(d)
     direct = audit.weighted_cases(audit.cases(d, "slow")).agg(*audit.weighted_sums(F.col("disagree"), F.col("weight"))).first().asDict()
     want = audit.weighted_proportion(audit.add_sums([direct]), finite=True)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tiermeter.functions.exprs import accepts, attempt_cost, last_good_attempt, served_attempt, sum_or_null, unusable
 from tiermeter.functions.stats import audits_to_resolve, clopper_pearson, mcnemar_p, paired_difference, weighted_proportion, z_for
-from tiermeter.operators import audit
+from tiermeter.operators import audit, cube
 from tiermeter.operators.montecarlo import bootstrap_mean
 from tiermeter.plans.adapters import CASES_SQL, FACTS_SQL, decisions, facts, table
 from tiermeter.plans.registry import query, r9
+from tiermeter.sources.tables import kept
 
 Z = z_for(0.95)
 
@@ -59,6 +60,16 @@ def audit_states(spark, d):
     return found(spark, d).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {CASES_SQL} SELECT state, count(*) AS n, count(*) FILTER (WHERE state = 'audited') AS audited, count(*) FILTER (WHERE state = 'audited' AND disagree) AS differ FROM cases GROUP BY state")
+def audit_cells(spark, d):
+    """States and outcomes from the merged cells of two halves of a run."""
+    run = kept(served(spark, d), "decisions")  # as a log has them
+    halves = [kept(audit.cells(run.where(F.col("seq") % 2 == k)), "cells") for k in (0, 1)]
+    each = cube.cases(kept(cube.merged(*halves), "cells"), "slow")
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return each.groupBy("state").agg(F.sum("n").alias("n"), n(F.col("disagree").isNotNull()).alias("audited"), n(F.col("disagree")).alias("differ"))
+
+
 @query(f"WITH {CASES_SQL} SELECT pi, members, selected, completed FROM strata")
 def audit_strata(spark, d):
     return audit.strata(found(spark, d)).select(F.col("key").alias("pi"), "members", "selected", "completed")
@@ -241,7 +252,7 @@ def cost_comparison(spark, d):
 @query()
 def audit_summary(spark, d):
     """The whole summary of a run, as one row of its main figures."""
-    s = audit.summarize(served(spark, d), tolerance=0.15)
+    s = audit.summarize(kept(served(spark, d), "decisions"), tolerance=0.15)
     e = s.disagreement
     row = (s.mode, s.n_decisions, s.n_errors, s.n_skipped, s.n_audited, e.value, e.lo, e.hi, e.n_eff, s.status, s.status_metric, s.audits_to_resolve, s.tasks_to_resolve, s.est_savings.value if s.est_savings else None, len(s.notes))
     return spark.createDataFrame([row], "mode string, n_decisions long, n_errors long, n_skipped long, n_audited long, disagreement double, lo double, hi double, n_eff double, status string, status_metric string, audits_to_resolve long, tasks_to_resolve long, est_savings double, n_notes long")

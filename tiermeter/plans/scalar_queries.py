@@ -160,9 +160,9 @@ def last_number(spark, d):
     return said(spark, d).select("conv_id", "turn", text.extract(F.col("reply"), "last_number").alias("number"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
 def regex_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return table(spark, d, "pages").select("page_id", text.extract(F.col("html"), "regex", pattern="<title>([^<]*)</title>", which="first").alias("title"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
