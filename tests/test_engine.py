@@ -239,3 +239,17 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path):
     (tmp_path / "wide.csv").write_text("prompt,answer\nx,1\ny,1,\n")
     with pytest.raises(Exception, match="too many cells"):
         tasks.load_tasks(spark, f"file://{tmp_path}/wide.csv").collect()
+
+
+def test_divisions_come_out_even_or_are_errors(spark):
+    from tiermeter.functions.exprs import apply_ops
+
+    def fold(start, *ops):
+        d = spark.createDataFrame([(start, list(ops))], "start double, ops array<struct<op:string,value:double>>")
+        return d.select(apply_ops(F.col("start"), F.col("ops")).alias("v")).first().v
+
+    assert fold(7.0, ("mul", 6.0), ("div", 3.0), ("floordiv", 4.0), ("sub", 1.0)) == 2.0 and fold(-7.0, ("floordiv", 2.0)) == -4.0
+    assert fold(None, ("div", 2.0)) is None and fold(3.0, ("div", None)) is None
+    for ops in ([("div", 2.0)], [("div", 0.0)], [("floordiv", 0.0)]):
+        with pytest.raises(Exception, match="not a whole result"):
+            fold(7.0, *ops)

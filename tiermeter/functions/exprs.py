@@ -177,9 +177,18 @@ def noise(*parts: Column) -> Column:
 
 
 def apply_ops(start: Column, ops: Column) -> Column:
-    """Left fold of arithmetic steps, an array of (op, value) structs."""
-    return F.aggregate(
-        ops,
-        start.cast("double"),
-        lambda acc, x: F.when(x["op"] == "add", acc + x["value"]).when(x["op"] == "sub", acc - x["value"]).when(x["op"] == "mul", acc * x["value"]).when(x["op"] == "div", F.try_divide(acc, x["value"])).when(x["op"] == "floordiv", F.floor(F.try_divide(acc, x["value"])).cast("double")),
-    )
+    """Left fold of arithmetic steps, an array of (op, value) structs. A division that doesn't come out even is an error, and so is one by zero."""
+
+    def failed(what: str, acc: Column, x: Column) -> Column:
+        return F.raise_error(F.format_string(f"%.17g {what} %.17g: not a whole result", acc, x["value"].cast("double"))).cast("double")
+
+    def step(acc: Column, x: Column) -> Column:
+        op, value = x["op"], x["value"].cast("double")
+        even = (value != 0) & (F.try_mod(acc, value) == 0)
+        return (
+            F.when(op == "add", acc + value).when(op == "sub", acc - value).when(op == "mul", acc * value)
+            .when(op == "div", F.when(F.coalesce(even, acc.isNull() | value.isNull()), F.try_divide(acc, value)).otherwise(failed("div", acc, x)))
+            .when(op == "floordiv", F.when(F.coalesce(value != 0, F.lit(True)), F.floor(F.try_divide(acc, value)).cast("double")).otherwise(failed("floordiv", acc, x)))
+        )
+
+    return F.aggregate(ops, start.cast("double"), step)

@@ -203,6 +203,15 @@ def apply_ops_fold(spark, d):
     return table(spark, d, "orders").select("o_orderkey", exprs.apply_ops(k % 50, F.array(step("add", F.lit(3)), step("mul", k % 7 + 2), step("sub", k % 11))).alias("result"))
 
 
+@query("SELECT o_orderkey, CAST(CAST(floor(o_orderkey % 50 * (o_orderkey % 7 + 2) / CAST(o_orderkey % 11 + 1 AS DOUBLE)) AS BIGINT) * 3 / 3 AS DOUBLE) + o_orderkey % 50 AS result FROM orders")
+def apply_ops_division(spark, d):
+    """Floored and even divisions."""
+    k = F.col("o_orderkey")
+    step = lambda op, value: F.struct(F.lit(op).alias("op"), value.cast("double").alias("value"))
+    steps = F.array(step("mul", k % 7 + 2), step("floordiv", k % 11 + 1), step("mul", F.lit(3)), step("div", F.lit(3)), step("add", k % 50))
+    return table(spark, d, "orders").select("o_orderkey", exprs.apply_ops(k % 50, steps).alias("result"))
+
+
 @query("SELECT item_id, replace('Q: {prompt} Again: {prompt}', '{prompt}', text) AS rendered FROM benchmark")
 def template_render(spark, d):
     return table(spark, d, "benchmark").select("item_id", exprs.render("Q: {prompt} Again: {prompt}", F.col("text")).alias("rendered"))
