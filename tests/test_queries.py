@@ -58,3 +58,11 @@ def test_streamed_run_decides_each_task_once(spark):
     r = all_queries()["streaming_resume"](spark, SF).first()
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert r.tasks == r.decisions <= n and r.escalated < r.decisions
+
+
+def test_bootstrap_intervals_hold_the_values_of_sql(spark, duck):
+    got = {r.measure: r for r in all_queries()["bootstrap_intervals"](spark, SF).collect()}
+    want = duck.execute(f"SELECT hajek FROM ({all_oracles()['audit_hajek']})").fetchone()[0], duck.execute(f"SELECT auroc FROM ({all_oracles()['auroc']})").fetchone()[0]
+    for measure, value in zip(("disagreement", "auroc"), want, strict=True):
+        r = got[measure]
+        assert r.value == pytest.approx(float(value), abs=1e-8) and r.lo < r.value < r.hi < r.lo + 0.6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tiermeter.functions.exprs import accepts, attempt_cost, last_good_attempt, served_attempt, sum_or_null, unusable
 from tiermeter.functions.stats import audits_to_resolve, clopper_pearson, mcnemar_p, paired_difference, weighted_proportion, z_for
-from tiermeter.operators import audit, cube
+from tiermeter.operators import audit, bootstrap, cube
 from tiermeter.operators.montecarlo import bootstrap_mean
 from tiermeter.plans.adapters import CASES_SQL, FACTS_SQL, decisions, facts, table
 from tiermeter.plans.registry import query, r9
@@ -295,3 +295,12 @@ def bootstrap_score(spark, d):
     """The mean score with its bootstrap interval."""
     e = bootstrap_mean(facts(table(spark, d, "events")), "score")
     return spark.createDataFrame([(e.value, e.lo, e.hi, e.n)], "value double, lo double, hi double, n long")
+
+
+@query()
+def bootstrap_intervals(spark, d):
+    """Bootstrap intervals of the scores' AUROC and of the audit's weighted disagreement; tests hold them against plain numpy."""
+    graded = facts(table(spark, d, "events")).where("not failed and event_id % 10 <> 9 and score is not null").select("event_id", "score", F.col("fast_ok").alias("label"))
+    weighted = audit.weighted_cases(found(spark, d)).select("task_id", F.col("disagree"), "weight")
+    both = {"auroc": bootstrap.auroc(graded, "event_id", reps=500), "disagreement": bootstrap.ratio(weighted, "task_id", F.col("disagree"), F.col("weight"), reps=500)}
+    return spark.createDataFrame([(k, e.value, e.lo, e.hi, e.n) for k, e in both.items()], "measure string, value double, lo double, hi double, n long")
