@@ -153,7 +153,8 @@ def _command(spark: SparkSession, a) -> int:
         return _run(spark, a, config.parse(DEMO), work.select(F.col("pos").alias("seq"), "id", "prompt", "reference", F.lit(None).cast("string").alias("meta"), F.col("steps").cast("double").alias("difficulty")))
     if a.command == "datasets":
         t = tasks.load_tasks(spark, a.path)
-        show(t.agg(F.count("*").alias("tasks"), F.count("reference").alias("with_reference")).first().asDict() | {"levels": {r.level: r["count"] for r in t.groupBy(F.get_json_object("meta", "$.level").alias("level")).count().collect()}})
+        levels = tasks.levels(t).collect()  # a row for each level
+        show({"tasks": sum(r.tasks for r in levels), "with_reference": sum(r.with_reference for r in levels), "levels": {r.level: r.tasks for r in levels}})
         return OK
     book = Ledger(spark, a.ledger or "ledger")
     if a.command == "runs":

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiermeter.functions import exprs, pricing, text
 from tiermeter.functions.sampling import inclusion_prob as band_prob
@@ -17,6 +18,7 @@ from tiermeter.operators.simulate import Answerer, answers, self_consistency as
 from tiermeter.plans.adapters import FACTS_SQL, REPLIES_SQL, decisions, facts, replies, table
 from tiermeter.plans.registry import query, r9
 from tiermeter.sources import calls, ledger, tasks
+from tiermeter.schema import DECISION
 from tiermeter.sources.tables import kept, shared_dir
 from tiermeter.streaming.runner import Runner, failure_streak as streak, todo
 
@@ -274,6 +276,14 @@ def gsm8k_reference(spark, d):
     return tasks.gsm8k(b.select(F.col("item_id").alias("pos"), F.col("text").alias("question"), answer.alias("answer"))).select("id", "reference")
 
 
+@query("SELECT CASE WHEN item_id % 5 > 0 THEN CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END END AS level, count(*) AS tasks, count(CASE WHEN item_id % 3 > 0 THEN 1 END) AS with_reference FROM benchmark GROUP BY 1")
+def task_levels(spark, d):
+    """The summary of a task file: its levels, and how many tasks have a reference."""
+    level = F.when(F.col("item_id") % 5 > 0, F.when(F.length("text") < 200, "short").otherwise("long"))
+    t = table(spark, d, "benchmark").select(F.to_json(F.struct(level.alias("level"), "item_id")).alias("meta"), F.when(F.col("item_id") % 3 > 0, F.col("item_id").cast("string")).alias("reference"))
+    return tasks.levels(t)
+
+
 @query("SELECT CASE WHEN length(text) < 200 THEN 'short' WHEN length(text) < 400 THEN 'middle' ELSE 'long' END AS level, count(*) AS n FROM benchmark GROUP BY 1")
 def dataset_levels(spark, d):
     size = F.length("text")
@@ -354,6 +364,19 @@ def latest_run(spark, d):
     return spark.createDataFrame([(int(book.latest_run_id()),)], "run_id long")
 
 
+@query("SELECT CAST(k AS VARCHAR) AS run_id, count(DISTINCT o_orderkey) AS n FROM range(17) r(k) LEFT JOIN orders ON o_custkey % 16 = k GROUP BY k")
+def ledger_runs(spark, d):
+    """A ledger's runs with their decisions, some of them recorded twice; one run has none."""
+    book = new_ledger(spark)
+    runs = spark.range(17).select(F.col("id").cast("string").alias("run_id"), F.lpad(F.col("id").cast("string"), 4, "0").alias("created_at"), F.lit("serve").alias("mode"), F.lit("{}").alias("config"), F.lit("").alias("note"), F.col("id").alias("version"))
+    runs.write.parquet(f"{book.path}/runs")
+    made = table(spark, d, "orders").select((F.col("o_custkey") % 16).cast("string").alias("run_id"), F.col("o_orderkey").alias("seq"), F.struct(F.col("o_orderkey").cast("string").alias("id")).alias("task"))
+    made = made.to(T._parse_datatype_string(DECISION))
+    book.record(made)
+    book.record(made.where("seq % 3 = 0"))
+    return book.runs().select("run_id", "n")
+
+
 @query("SELECT c_custkey AS run_id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def runs_with_counts(spark, d):
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.count("*").alias("n"))

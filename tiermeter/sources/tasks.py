@@ -180,3 +180,8 @@ def make(spark: SparkSession, name: str, **options) -> DataFrame:
     if name not in GENERATORS:
         raise ValueError(f"unknown generator {name!r}; known: {', '.join(sorted(GENERATORS))}")
     return GENERATORS[name](spark, **options)
+
+
+def levels(tasks: DataFrame) -> DataFrame:
+    """``level`` (of ``meta``, null where none is given), its ``tasks`` and those of them ``with_reference``."""
+    return tasks.groupBy(F.get_json_object("meta", "$.level").alias("level")).agg(F.count("*").alias("tasks"), F.count("reference").alias("with_reference"))
