@@ -36,8 +36,7 @@ TEXTS = (
 )
 
 
-@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_KEYS, 0])
-@pytest.mark.parametrize(("min_docs", "min_chars"), [(10, 1), (2, 1), (10, 6)])
+@pytest.mark.parametrize(("broadcast", "min_docs", "min_chars"), [(line_dedup.BROADCAST_KEYS, 10, 1), (0, 10, 1), (0, 2, 1), (line_dedup.BROADCAST_KEYS, 10, 6)])
 def test_same_as_plain_code(spark, monkeypatch, broadcast, min_docs, min_chars):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", broadcast)
     rows = [(None if k % 17 == 3 else k // 2, t) for k, t in enumerate(TEXTS)]
@@ -47,8 +46,10 @@ def test_same_as_plain_code(spark, monkeypatch, broadcast, min_docs, min_chars):
     assert sum(r.text is None for r in got) == 1
 
 
-def test_hot_keys_and_texts_are_joined_apart(spark, monkeypatch):
+@pytest.mark.parametrize("most", [line_dedup.MOST_DROPS, 1])
+def test_hot_keys_and_texts_are_joined_apart(spark, monkeypatch, most):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(line_dedup, "MOST_DROPS", most)
     monkeypatch.setattr(line_dedup, "HOT_KEYS", 4)
     texts = [f"hot\nline {k % 30}\nown {k}" for k in range(400)] + ["hot\nhot"] * 200
     got = line_dedup.drop_lines(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()

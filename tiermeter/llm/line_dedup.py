@@ -26,6 +26,8 @@ from tiermeter.llm.graph import HOT_KEYS
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Frequent keys up to this many are broadcast (24 bytes each, 6 MB); of more only the hot ones.
 BROADCAST_KEYS = 1 << 18
+#: Positions of a hot text that is broadcast; adaptive execution splits the partition of one with more.
+MOST_DROPS = 1024
 #: Characters stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -95,13 +97,13 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     frequent = written(frequent_lines(docs.select("text"), min_docs, min_chars), "frequent")
     drops = written(dropped_lines(docs.select("text"), frequent, min_chars), "drops").withColumnsRenamed({"h1": "__h1", "h2": "__h2", "drop": "__drop"})
     total = drops.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    hot = F.col("rows") > max(total // HOT_KEYS, 1)
+    hot = (F.col("rows") > max(total // HOT_KEYS, 1)) & (F.size("__drop") <= MOST_DROPS)
     by = names[:2]
     h1, h2 = _hash("text")
     # Lines are split below the join, so that the lambda below reads them as a column.
     rows = docs.select("*", h1.alias(by[0]), h2.alias(by[1]), lines_of("text").alias("__lines"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    few = F.broadcast(drops.where(hot).drop("rows"))  # HOT_KEYS texts at most
+    few = F.broadcast(drops.where(hot).drop("rows"))  # HOT_KEYS texts at most, of MOST_DROPS positions: 16 MB
     joined = rows.join(few, by, "left").where(F.col("__drop").isNotNull() | blank)
     # A text that isn't blank is its lines; it needn't be shuffled beside them.
     rest = rows.where(~blank).drop("text").join(few.select(*by), by, "left_anti").join(drops.where(~hot).drop("rows").hint("shuffle_hash"), by, "left")
