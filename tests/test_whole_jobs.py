@@ -1,9 +1,13 @@
 """Queries whose SQL, if any, can't show that they do the whole job."""
 
+from pyspark.sql import functions as F
+
 from conftest import SF
 from tiermeter.functions import text
+from tiermeter.operators import sweep
 from tiermeter.operators.matching import longest_contained
 from tiermeter.plans import all_queries, curve_queries
+from tiermeter.schema import ATTEMPT, COMPLETION, struct_of
 from tiermeter.plans.scalar_queries import said, sim_tasks
 
 
@@ -34,3 +38,21 @@ def test_coverage_takes_all_seeds(spark, monkeypatch):
     monkeypatch.setattr(curve_queries.montecarlo, "redraw", lambda cases, n: seeds.append(n) or redraw(cases, 2))
     all_queries()["coverage_full"](spark, SF)
     assert seeds == [5000]
+
+
+def test_conditions_on_items_dont_bring_copies_of_the_attempts(spark):
+    rows = curve_queries.flat(spark, SF).where("cost1 is not null and s1 > 0.5 and ok1")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
+
+
+def test_items_take_tiers_in_any_order_and_only_whole_decisions(spark):
+    def attempt(tier, there=True):
+        return struct_of(ATTEMPT, tier=F.lit(tier), completion=struct_of(COMPLETION, text=F.lit(tier), cost_usd=F.lit(float(len(tier)))) if there else F.lit(None))
+
+    a, bb = attempt("a"), attempt("bb")
+    kinds = {"in order": [a, bb], "turned": [bb, a], "twice": [a, a], "one": [a], "three": [a, bb, a], "no answer": [a, attempt("bb", False)]}
+    parts = [spark.range(1).select(F.struct(F.lit(k).alias("id")).alias("task"), F.array(*v).alias("attempts"), F.lit(None).cast("string").alias("error")) for k, v in kinds.items()]
+    d = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4]).union(parts[5])
+    d = d.union(parts[0].withColumn("error", F.lit("failed"))).union(parts[0].withColumn("attempts", F.lit(None).cast(f"array<{ATTEMPT}>")))
+    got = sorted((r.task_id, r.base1, r.base2) for r in sweep.items(d, ["a", "bb"]).collect())
+    assert got == [("in order", 1.0, 2.0), ("turned", 1.0, 2.0), ("twice", 1.0, None)]

@@ -25,7 +25,7 @@ MOST_POINTS, MOST_GRID, OVER_ONE = 20_000, 101, 1.0001
 
 def usable(n_tiers: int) -> Column:
     """No error, every tier attempted, every completion there."""
-    return F.col("error").isNull() & (F.size("attempts") == n_tiers) & F.forall("attempts", lambda a: a["completion"].isNotNull())
+    return reduce(lambda x, y: x & y, [F.get("attempts", F.lit(i))["completion"].isNotNull() for i in range(n_tiers)], F.col("error").isNull() & (F.size("attempts") == n_tiers))
 
 
 def check_runs(decisions: DataFrame) -> None:
@@ -35,28 +35,35 @@ def check_runs(decisions: DataFrame) -> None:
         raise ValueError(f"{r.runs} runs, {r.other} decisions not made in eval mode")
 
 
-def truth_source(decisions: DataFrame) -> str:
-    """``reference`` if every attempt is graded, else the last tier's answer."""
-    graded = F.forall("attempts", lambda a: a["correct"].isNotNull())
-    return "reference" if decisions.agg(F.coalesce(F.bool_and(graded), F.lit(False)).alias("b")).first().b else "audit-tier"
+def truth_source(decisions: DataFrame, n_tiers: int) -> str:
+    """``reference`` if every attempt of the usable decisions is graded, else the last tier's answer."""
+    graded = reduce(lambda x, y: x & y, [F.get("attempts", F.lit(i))["correct"].isNotNull() for i in range(n_tiers)])
+    return "reference" if decisions.agg(F.coalesce(F.bool_and(F.when(usable(n_tiers), graded)), F.lit(False)).alias("b")).first().b else "audit-tier"
 
 
-def _of_tier(tier: str) -> Column:
-    return F.get(F.filter("attempts", lambda x: x["tier"] == F.lit(tier)), F.lit(0))
+def _of_tier(tier: str, n_tiers: int) -> Column:
+    """The first of the ``n_tiers`` attempts that is of ``tier``; by place, since lambdas aren't compiled."""
+    at = [F.get("attempts", F.lit(i)) for i in range(n_tiers)]
+    return F.coalesce(*[F.when(a["tier"] == F.lit(tier), a) for a in at])
 
 
 def items(decisions: DataFrame, tiers: Sequence[str], truth: str = "auto") -> DataFrame:
-    """Flat rows with ``s{j}``, ``ok{j}``, ``cost{j}`` (with confidence calls), ``base{j}`` and ``lat{j}`` for each tier."""
-    d = decisions.where(usable(len(tiers)))
+    """Flat rows with ``s{j}``, ``ok{j}``, ``cost{j}`` (with confidence calls), ``base{j}`` and ``lat{j}`` for each tier.
+
+    One pass makes an array of an item, or none for a decision that isn't usable.
+    What is asked of the items isn't pushed below the explosion: there each
+    condition would bring a copy of all that the attempts are made from.
+    """
+    n = len(tiers)
     if truth == "auto":
-        truth = truth_source(d)
+        truth = truth_source(decisions, n)
     columns = [F.col("task.id").alias("task_id")]
     for j, tier in enumerate(tiers, start=1):
-        a = _of_tier(tier)
-        last = j == len(tiers)
+        a = _of_tier(tier, n)
+        last = j == n
         right = a["correct"]["equivalent"] if truth == "reference" else F.lit(True) if last else a["agreement"]["equivalent"]
         columns += [finite(a["confidence"]["score"]).alias(f"s{j}"), F.coalesce(right, F.lit(False)).alias(f"ok{j}"), attempt_cost(a).alias(f"cost{j}"), a["completion"]["cost_usd"].alias(f"base{j}"), a["completion"]["latency_s"].alias(f"lat{j}")]
-    return d.select(columns)
+    return decisions.select(F.explode(F.when(usable(n), F.array(F.struct(*columns)))).alias("item")).select("item.*")
 
 
 def default_grid(scores: DataFrame, column: str, most: int = MOST_GRID) -> list[float]:
