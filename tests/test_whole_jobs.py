@@ -1,5 +1,6 @@
 """Queries whose SQL, if any, can't show that they do the whole job."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -56,3 +57,14 @@ def test_items_take_tiers_in_any_order_and_only_whole_decisions(spark):
     d = d.union(parts[0].withColumn("error", F.lit("failed"))).union(parts[0].withColumn("attempts", F.lit(None).cast(f"array<{ATTEMPT}>")))
     got = sorted((r.task_id, r.base1, r.base2) for r in sweep.items(d, ["a", "bb"]).collect())
     assert got == [("in order", 1.0, 2.0), ("turned", 1.0, 2.0), ("twice", 1.0, None)]
+
+
+@pytest.mark.parametrize("strata", [5, 300])
+def test_redraws_are_those_of_the_hash_and_no_case_is_exploded(spark, strata):
+    pi = F.element_at(F.array(*map(F.lit, (0.1, 0.5, 1.0, None, 0.0))), (F.col("id") % 5 + 1).cast("int")) if strata == 5 else (F.col("id") % strata + 1) / F.lit(float(strata))
+    cases = spark.range(3000).select(F.col("id").cast("string").alias("task_id"), pi.alias("pi"), F.when(F.col("id") % 7 > 0, F.col("id") % 3 == 0).alias("disagree"))
+    u = F.shiftrightunsigned(F.xxhash64("task_id", "seed"), 11) / F.lit(float(1 << 53))
+    want = cases.withColumn("seed", F.explode(F.sequence(F.lit(-2), F.lit(37)))).where(u < F.col("pi")).groupBy("seed", "pi").agg(F.count("*").alias("drawn"), F.count_if("disagree").alias("hits"))
+    got = curve_queries.montecarlo.redraw(cases, 40, -2)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -14,17 +14,74 @@ from pyspark.sql import functions as F
 from tiermeter.functions.stats import REPLICATES, Estimate, WeightedSums, finite_bounds_many, status_of, weighted_proportion
 
 
+#: Strata whose sums a task of ``redraw`` holds; the seeds' sums of more go on to the shuffle.
+HELD_STRATA = 64
+_ODD = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
 def redraw(cases: DataFrame, seeds: int, first_seed: int = 0) -> DataFrame:
     """For each seed and stratum: how many of its cases were drawn, and how many of those disagree.
 
-    ``cases``: ``task_id``, ``pi``, ``disagree``. Each case is drawn where a hash of
-    seed and id is below its probability. The cases are exploded over the seeds
-    and summed before the shuffle, so what moves is a row for each seed, stratum
-    and task.
+    ``cases``: ``task_id``, ``pi``, ``disagree``. Each case is drawn where
+    ``xxhash64(task_id, seed)`` as a number in [0, 1) is below its probability;
+    seeds are 32-bit integers. Cases aren't exploded over the seeds: Spark hashes
+    the id, an Arrow batch takes the hash on for one seed after the other, and a
+    task gives a row for each seed and stratum. Cases are dealt to all cores
+    first, as their redraws take far longer than their scan.
     """
-    drawn = cases.select("task_id", "pi", "disagree").withColumn("seed", F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + seeds - 1))))
-    u = F.shiftrightunsigned(F.xxhash64("task_id", "seed"), 11) / F.lit(float(1 << 53))
-    return drawn.where(u < F.col("pi")).groupBy("seed", "pi").agg(F.count("*").alias("drawn"), F.count_if("disagree").alias("hits"))
+    if not -(1 << 31) <= first_seed <= first_seed + seeds <= 1 << 31:
+        raise ValueError("seeds are 32-bit integers")
+    of_seed = [np.uint64(s & 0xFFFFFFFF) for s in range(first_seed, first_seed + seeds)]
+    p1, p2, p3, p5 = _ODD
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[float, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for pi, (drawn, hits) in held.items():
+                at = np.flatnonzero(drawn)
+                yield pa.RecordBatch.from_arrays([pa.array((at + first_seed).astype(np.int32)), pa.array(np.full(len(at), pi)), pa.array(drawn[at]), pa.array(hits[at])], names=["seed", "pi", "drawn", "hits"])
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, pi, bad = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            order = np.lexsort((bad, pi))
+            base, pi, bad = h[order].view(np.uint64) + (p5 + np.uint64(4)), pi[order], bad[order]
+            starts = np.flatnonzero(np.r_[True, (pi[1:] != pi[:-1]) | (bad[1:] != bad[:-1])])
+            least = np.ceil(np.fmin(pi, 1.0) * float(1 << 53)).astype(np.uint64)
+            x, y, under, counts = np.empty_like(base), np.empty_like(base), np.empty(len(base), bool), np.empty((seeds, len(starts)), np.int64)
+            for k, s in enumerate(of_seed):
+                with np.errstate(over="ignore"):
+                    np.bitwise_xor(base, s * p1, out=x)
+                np.right_shift(x, np.uint64(41), out=y)
+                np.left_shift(x, np.uint64(23), out=x)
+                np.bitwise_or(x, y, out=x)
+                np.multiply(x, p2, out=x)
+                np.add(x, p3, out=x)
+                for shift, odd in ((33, p2), (29, p3), (32, None)):
+                    np.right_shift(x, np.uint64(shift), out=y)
+                    np.bitwise_xor(x, y, out=x)
+                    if odd is not None:
+                        np.multiply(x, odd, out=x)
+                np.right_shift(x, np.uint64(11), out=x)
+                np.less(x, least, out=under)
+                np.add.reduceat(under, starts, dtype=np.int64, out=counts[k])
+            for j, i in enumerate(starts):
+                sums = held.get(float(pi[i]))
+                if sums is None:
+                    if len(held) >= HELD_STRATA:
+                        yield from flush()
+                    sums = held[float(pi[i])] = np.zeros((2, seeds), np.int64)
+                sums[0] += counts[:, j]
+                if bad[i]:
+                    sums[1] += counts[:, j]
+        yield from flush()
+
+    rows = cases.where(F.col("pi") > 0).select(F.xxhash64("task_id").alias("h"), F.col("pi").cast("double").alias("pi"), F.coalesce("disagree", F.lit(False)).alias("bad"))
+    drawn = rows.repartition(2 * cases.sparkSession.sparkContext.defaultParallelism, "h").mapInArrow(run, "seed int, pi double, drawn long, hits long")
+    return drawn.groupBy("seed", "pi").agg(F.sum("drawn").alias("drawn"), F.sum("hits").alias("hits"))
 
 
 INTERVALS = "seed long, n long, value double, lo double, hi double, status string"
@@ -44,7 +101,7 @@ def intervals(draws: DataFrame, tolerance: float | None = None, level: float = 0
                 yield pa.RecordBatch.from_arrays([batch.column("seed"), pa.array([s.n for s in sums], pa.int64()), pa.array(value, pa.float64()), pa.array(lo), pa.array(hi), pa.array(status)], schema=target)
 
     per_seed = draws.groupBy(F.col("seed").cast("long").alias("seed")).agg(F.sort_array(F.collect_list(F.struct("pi", "drawn", "hits"))).alias("strata"))  # a few strata
-    return per_seed.mapInArrow(run, INTERVALS)
+    return per_seed.repartition(draws.sparkSession.sparkContext.defaultParallelism, "seed").mapInArrow(run, INTERVALS)  # few rows, but long to finish
 
 
 def bounds(sums: Sequence[WeightedSums], level: float = 0.95) -> tuple[list[float], list[float], list[float]]:
