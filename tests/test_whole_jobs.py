@@ -7,7 +7,7 @@ from conftest import SF
 from tiermeter.functions import text
 from tiermeter.operators import sweep
 from tiermeter.operators.matching import longest_contained
-from tiermeter.plans import all_queries, curve_queries
+from tiermeter.plans import all_queries, curve_queries, scalar_queries
 from tiermeter.schema import ATTEMPT, COMPLETION, struct_of
 from tiermeter.plans.scalar_queries import said, sim_tasks
 
@@ -68,3 +68,11 @@ def test_redraws_are_those_of_the_hash_and_no_case_is_exploded(spark, strata):
     got = curve_queries.montecarlo.redraw(cases, 40, -2)
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streamed_tasks_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(scalar_queries, "shared_dir", lambda _: f"file://{tmp_path}")
+    got, want = (all_queries()["streaming_resume"](spark, d).first() for d in (str(tmp_path), SF))
+    assert got == want
+    assert len(list(tmp_path.glob("stream-*/in/a/part-*.json"))) > 2

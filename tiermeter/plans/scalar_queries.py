@@ -452,11 +452,11 @@ def streaming_resume(spark, d):
     """A streamed run stopped half way and started again: every task has one decision."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     t = sim_tasks(spark, d)
-    t.where("seq % 2 = 0").coalesce(1).write.json(f"{root}/in/a")
+    t.where("seq % 2 = 0").write.json(f"{root}/in/a")
     book = ledger.Ledger(spark, f"{root}/ledger")
     run = Runner(book, TIERS, "s", audit=AuditPolicy(rate=0.3))
     run.stream(spark, f"{root}/in/*", f"{root}/state").awaitTermination()
-    t.where("seq % 4 <> 0").coalesce(1).write.json(f"{root}/in/b")
+    t.where("seq % 4 <> 0").write.json(f"{root}/in/b")
     run.stream(spark, f"{root}/in/*", f"{root}/state").awaitTermination()
     got = book.decisions("s")
     return got.agg(F.count("*").alias("decisions"), F.count_distinct("task.id").alias("tasks"), F.count_if("escalated").alias("escalated"))
