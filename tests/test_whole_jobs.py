@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from tiermeter.functions import text
-from tiermeter.operators import sweep
+from tiermeter.operators import audit, sweep
 from tiermeter.operators.matching import longest_contained
 from tiermeter.plans import all_queries, curve_queries, scalar_queries
+from tiermeter.plans.adapters import decisions
 from tiermeter.schema import ATTEMPT, COMPLETION, struct_of
+from tiermeter.sources.tables import kept
 from tiermeter.plans.scalar_queries import said, sim_tasks
 
 
@@ -76,3 +78,9 @@ def test_streamed_tasks_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     got, want = (all_queries()["streaming_resume"](spark, d).first() for d in (str(tmp_path), SF))
     assert got == want
     assert len(list(tmp_path.glob("stream-*/in/a/part-*.json"))) > 2
+
+
+def test_rows_of_cells_are_made_once(spark):
+    run = kept(decisions(spark.read.parquet(f"{SF}/events.parquet")), "decisions")
+    plan = audit.cells(run)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lambda" in line for line in plan.splitlines() if "Filter (" in line)

@@ -84,8 +84,12 @@ def rows(decisions: DataFrame, bin_of: Column, *keep: str | Column) -> DataFrame
 
 
 def cells(decisions: DataFrame, bin_of: Column) -> DataFrame:
-    """The cells of ``decisions``, summed map-side in one scan."""
-    return summed(rows(decisions, bin_of).select(F.explode("rows").alias("r")).select("r.*"))
+    """The cells of ``decisions``, summed map-side in one scan.
+
+    No decision is without rows. Spark doesn't know that: for a plain explosion it
+    would ask whether there are any, by a filter that makes all of them a second time.
+    """
+    return summed(rows(decisions, bin_of).select(F.explode_outer("rows").alias("r")).select("r.*"))
 
 
 def summed(flat: DataFrame, sign: Column | None = None) -> DataFrame:
